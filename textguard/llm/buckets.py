@@ -102,17 +102,26 @@ def _links(similarity: Similarity, least: float) -> Callable[[Iterator[pa.Record
     return run
 
 
-def groups(sketched: DataFrame, similarity: Similarity, least: float) -> DataFrame:
-    """(node, comp) of all nodes that are alike another, linked directly or through others.
+def sketched(rows: DataFrame) -> DataFrame:
+    """The sketches, written, with `rep`: the smallest node of those with equal content (`same` and sketch)."""
+    return written(rows.withColumn("rep", F.min("node").over(Window.partitionBy("same", "sketch"))), "sketches")
 
-    `sketched`: node BIGINT, same BIGINT, bands ARRAY<BIGINT>, sketch BINARY (all of one width). Nodes of equal
-    `same` and sketch have equal content and are linked at once; only one of them goes into the buckets.
-    """
-    by = Window.partitionBy("same", "sketch")
-    table = written(sketched.withColumn("rep", F.min("node").over(by)), "sketches")
+
+def linked(table: DataFrame, similarity: Similarity, least: float) -> DataFrame:
+    """(node, comp) of all nodes of a `sketched` table that are alike another, directly or through others."""
     one = table.where("node = rep").dropDuplicates(["node", "same"])
     rows = one.select(F.explode("bands").alias("bucket"), "node", "sketch")
     links = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(similarity, least), "a long, b long")
-    out = components(links.union(table.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))))
+    return components(links.union(table.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))))
+
+
+def groups(rows: DataFrame, similarity: Similarity, least: float) -> DataFrame:
+    """(node, comp) of all nodes that are alike another, linked directly or through others.
+
+    `rows`: node BIGINT, same BIGINT, bands ARRAY<BIGINT>, sketch BINARY (all of one width). Nodes of equal `same`
+    and sketch have equal content and are linked at once; only one of them goes into the buckets.
+    """
+    table = sketched(rows)
+    out = linked(table, similarity, least)
     drop(table)
     return out
