@@ -13,7 +13,7 @@ from textguard.llm import kernel as K
 from textguard.llm.common import node, written
 
 #: Buckets of hashed unigrams and bigrams; labelled target documents at most; share of the documents that is sampled.
-BUCKETS, TARGET_DOCS, SHARE, SEED = 10_000, 20_000, 0.8, 7
+BUCKETS, TARGET_DOCS, SHARE, SEED = 10_000, 20_000, 0.85, 7
 #: Counts by which a bucket's ratio is drawn to 1.
 PRIOR = 5.0
 
