@@ -9,24 +9,24 @@ compressed blocks, so a group sends a few rows and not one per word.
 from __future__ import annotations
 
 import base64
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textguard.llm import kernel as K
-from textguard.llm.common import node, written
+from textguard.llm.common import node
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text into words before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text in a group, and parts that the distinct words are cut into.
-GROUP_BYTES, PARTS = 24 << 20, 64
+GROUP_BYTES, PARTS = 16 << 20, 64
+
+_CODEC = pa.Codec("zstd", 3)
 
 
 def ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -60,11 +60,14 @@ class Encoder:
 
 
 def _pack(x: np.ndarray | bytes) -> bytes:
-    return zlib.compress(x if isinstance(x, bytes) else x.tobytes(), 1)
+    """The bytes, compressed, after their length."""
+    data = x if isinstance(x, bytes) else x.tobytes()
+    return len(data).to_bytes(8, "little") + (_CODEC.compress(data, asbytes=True) if data else b"")
 
 
-def _ints(data: bytes, kind=np.int32) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), kind)
+def _unpack(data: bytes) -> bytes:
+    n = int.from_bytes(data[:8], "little")
+    return _CODEC.decompress(data[8:], n, asbytes=True) if n else b""
 
 
 def _varints(x: np.ndarray) -> bytes:
@@ -91,25 +94,20 @@ def _unvarints(data: bytes) -> np.ndarray:
 
 
 def _grouped(parts: int, limit: int):
-    """Per group: rows of documents (positions in the word list) and rows of words (one per part that has some)."""
-    schema = pa.schema([("grp", pa.string()), ("part", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("size", pa.int32()), ("data", pa.binary())])
+    """Per group of documents one row of texts, as positions in the group's word list, and one row of words for every
+    part that has some; `key` is the group or the part."""
+    schema = pa.schema([("key", pa.string()), ("grp", pa.string()), ("kind", pa.int32()), ("data", pa.binary())])
 
-    def emit(grp: str, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def emit(stem: str, held: list[tuple]) -> pa.RecordBatch:
         words = pa.chunked_array([w for _, _, w, _ in held]).combine_chunks().dictionary_encode()
         at, distinct = words.indices.to_numpy(), words.dictionary
-        times = np.bincount(at, minlength=len(distinct))
-        order = np.argsort(-times, kind="stable")  # frequent words get small positions
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        codes, distinct = rank[at], distinct.take(pa.array(order))
-        rows = []
-        done = 0
-        for ids, hashes, w, sizes in held:
-            ends = np.cumsum(sizes)
-            mine = codes[done : done + len(w)]
-            done += len(w)
-            for i, h, a, b in zip(ids, hashes, (ends - sizes).tolist(), ends.tolist()):
-                rows.append((grp, -1, i, h, b - a, _pack(_varints(mine[a:b]))))
+        order = np.argsort(-np.bincount(at, minlength=len(distinct)), kind="stable")  # frequent words get small positions
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        distinct = distinct.take(pa.array(order))
+        ids, hashes, sizes = (np.concatenate([h[k] for h in held]) for k in (0, 1, 3))
+        grp = f"{stem}-{int(np.bitwise_xor.reduce(hashes ^ ids)) & 0xFFFFFFFF:x}"
+        rows = [("g" + grp, grp, 0, _blocks(_pack(ids), _pack(hashes), _pack(_varints(sizes)), _pack(_varints(rank[at]))))]
         buf, off = K.text_bytes(distinct)
         names = K.name(K.prefix(buf), off[:-1], off[1:]) if len(distinct) else np.zeros(0, np.uint64)
         part = (names % np.uint64(parts)).astype(np.int64)
@@ -118,9 +116,8 @@ def _grouped(parts: int, limit: int):
         for k in np.flatnonzero(np.diff(cut)).tolist():
             mine = by_part[cut[k] : cut[k + 1]]
             b, o = K.text_bytes(distinct.take(pa.array(mine)))
-            rows.append((grp, k, None, None, len(mine), _blocks(_pack(np.diff(o).astype(np.int32)), _pack(mine.astype(np.int32)), _pack(b[o[0] : o[-1]].tobytes()))))
-        for i in range(0, len(rows), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 4096]), schema.types)], schema=schema)
+            rows.append((f"p{k}", grp, 1, _blocks(_pack(_varints(np.diff(o))), _pack(_varints(np.diff(mine, prepend=0))), _pack(b[o[0] : o[-1]].tobytes()))))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -133,16 +130,16 @@ def _grouped(parts: int, limit: int):
             off = lists.offsets.to_numpy().astype(np.int64)
             off = off - off[0]
             values = lists.flatten()
-            heavy = np.concatenate([[0], np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False))]) if len(values) else np.zeros(1, np.int64)
-            per = heavy[off]
-            for i, j in K.slices(per, 8 << 20):
-                held.append((batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i).to_pylist(), values.slice(off[i], off[j] - off[i]), np.diff(off[i : j + 1])))
+            own = K.text_bytes(values)[1]
+            per = own[off] - own[0]
+            for i, j in K.slices(per, limit):
+                held.append((batch.column(0).slice(i, j - i).to_numpy(), batch.column(1).slice(i, j - i).to_numpy(), values.slice(off[i], off[j] - off[i]), np.diff(off[i : j + 1])))
                 size += int(per[j] - per[i])
-                if size >= limit:
-                    yield from emit(f"{stem}-{n}", held)
+                if size >= limit // 2:
+                    yield emit(f"{stem}-{n}", held)
                     held, size, n = [], 0, n + 1
         if held:
-            yield from emit(f"{stem}-{n}", held)
+            yield emit(f"{stem}-{n}", held)
 
     return run
 
@@ -153,55 +150,68 @@ def _blocks(*blocks: bytes) -> bytes:
 
 def _unblocked(data: bytes, n: int) -> list[bytes]:
     ends = np.cumsum(np.frombuffer(data[: 4 * n], np.int32)) + 4 * n
-    return [data[a:b] for a, b in zip([4 * n, *ends[:-1].tolist()], ends.tolist())]
+    return [_unpack(data[a:b]) for a, b in zip([4 * n, *ends[:-1].tolist()], ends.tolist())]
 
 
 def _encoded(path: str):
-    """From the word rows of one part: each distinct word is encoded once, and every group's list gets its ids."""
+    """From the rows of words, in order of their parts: each distinct word of a part is encoded once, and every
+    group's list gets its ids. A part comes to one task, so this is once for all documents."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(ranks(path))
-        known: dict[bytes, list[int]] = {}
-        out = []
-        for grp, data in zip(table.column("grp").to_pylist(), table.column("data").to_pylist()):
-            sizes, at, text = _unblocked(data, 3)
-            ends, text = np.cumsum(_ints(sizes)).tolist(), zlib.decompress(text)
-            counts, ids = [], []
-            for a, b in zip([0, *ends[:-1]], ends):
-                w = text[a:b]
-                if (k := known.get(w)) is None:
-                    k = known[w] = encode(w)
-                counts.append(len(k))
-                ids += k
-            out.append((grp, _blocks(at, _pack(_varints(np.array(counts))), _pack(_varints(np.array(ids))))))
-        return pa.table({"grp": pa.array([g for g, _ in out], pa.string()), "data": pa.array([d for _, d in out], pa.binary())})
+        known: dict[bytes, bytes] = {}
+        last = None
+        for batch in batches:
+            for key, grp, kind, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if not kind:
+                    continue
+                if key != last:
+                    known, last = {}, key
+                sizes, at, text = _unblocked(data, 3)
+                ends = np.cumsum(_unvarints(sizes)).tolist()
+                ids = []
+                for a, b in zip([0, *ends[:-1]], ends):
+                    w = text[a:b]
+                    if (k := known.get(w)) is None:
+                        k = known[w] = np.array(encode(w), np.int32).tobytes()
+                    ids.append(k)
+                counts = np.array([len(k) // 4 for k in ids])
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                out = _blocks(_pack(at), _pack(_varints(counts)), _pack(_varints(flat)))
+                yield pa.RecordBatch.from_arrays([pa.array(["g" + grp]), pa.array([out], pa.binary())], names=["key", "data"])
 
     return run
 
 
-def _joined(key: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
+def _joined(docs: pa.Table, words: pa.Table) -> pa.Table:
     """Joins the ids of a group's words to its documents by position."""
+    z = np.zeros(0, np.int32)
     places, counts, ids = [], [], []
     for data in words.column("data").to_pylist():
         p, c, i = _unblocked(data, 3)
-        places.append(_ints(p))
-        counts.append(_unvarints(zlib.decompress(c)))
-        ids.append(_unvarints(zlib.decompress(i)))
-    z = np.zeros(0, np.int32)
+        places.append(np.cumsum(_unvarints(p)))
+        counts.append(_unvarints(c))
+        ids.append(_unvarints(i))
     place, count, flat = (np.concatenate(x) if x else z for x in (places, counts, ids))
-    size, start = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    size, start = np.zeros(len(place), np.int32), np.zeros(len(place), np.int64)
     size[place], start[place] = count, np.cumsum(count) - count
-    values, lens = [], []
-    for data in docs.column("data").to_pylist():
-        w = _unvarints(zlib.decompress(data))
-        n = size[w]
-        total = int(n.sum())
-        at = np.arange(total) + np.repeat(start[w] - (np.cumsum(n) - n), n)
-        values.append(flat[at] if total else z)
-        lens.append(total)
-    offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else z, pa.int32()))
-    return pa.table({"doc_id": docs.column("doc_id"), "hash": docs.column("hash"), "n_tokens": pa.array(lens, pa.int64()), "ids": lists})
+    out = []
+    for kind, data in zip(docs.column("kind").to_pylist(), docs.column("data").to_pylist()):
+        if kind:
+            continue
+        doc_ids, hashes, sizes, codes = _unblocked(data, 4)
+        codes = _unvarints(codes)
+        if len(codes) and int(codes.max()) >= len(place):
+            raise ValueError("a group's words are missing: its input was not the same when it was computed again")
+        n = size[codes]
+        ends = np.cumsum(n, dtype=np.int64)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[codes] - (ends - n), n)
+        firsts = np.concatenate([[0], np.cumsum(_unvarints(sizes))])
+        offsets = np.concatenate([[0], ends])[firsts].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[at], pa.int32()))
+        out.append(pa.table({"doc_id": np.frombuffer(doc_ids, np.int64), "hash": np.frombuffer(hashes, np.int64), "n_tokens": np.diff(offsets).astype(np.int64), "ids": lists}))
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN, parts: int = PARTS, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -213,10 +223,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     split = docs.select(node(id_col, text_col).alias("doc_id"), F.xxhash64(text).alias("hash"), F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0)).alias("words"))
-    rows = written(split.mapInArrow(_grouped(parts, group_bytes), "grp string, part int, doc_id long, hash long, size int, data binary"), "words")
-    words = rows.where("part >= 0").select("part", "grp", "data").groupBy("part").applyInArrow(_encoded(vocabulary), "grp string, data binary")
-    texts = rows.where("part < 0").select("grp", "doc_id", "hash", "data")
-    return texts.groupBy("grp").cogroup(words.groupBy("grp")).applyInArrow(_joined, "doc_id long, hash long, n_tokens long, ids array<int>")
+    # both sides read one exchange by `key`, so the texts are split and grouped once
+    rows = split.mapInArrow(_grouped(parts, group_bytes), "key string, grp string, kind int, data binary").repartition("key")
+    words = rows.sortWithinPartitions("key").mapInArrow(_encoded(vocabulary), "key string, data binary")
+    return rows.groupBy("key").cogroup(words.groupBy("key")).applyInArrow(_joined, "doc_id long, hash long, n_tokens long, ids array<int>")
 
 
 def _decoded(path: str, at: int):
