@@ -44,57 +44,72 @@ def _lines(part: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, rows, number, K.name(K.prefix(part), starts, ends)
 
 
-def _shingles(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.maximum(ends - starts - size + 1, 1)
-    first = np.concatenate([[0], np.cumsum(counts)])
-    at = np.arange(first[-1]) + np.repeat(starts - first[:-1], counts)
-    stop = np.minimum(at + size, np.repeat(ends, counts))
-    return K.name(K.prefix(part), at, stop), first
+def _shingles(part: np.ndarray, size: int) -> np.ndarray:
+    """The `size` (1 to 8) bytes at every offset, as one number each."""
+    if len(part) < 8:
+        part = np.concatenate([part, np.zeros(8 - len(part), np.uint8)])
+    own = np.ndarray((len(part) - 7,), np.dtype("<u8"), np.ascontiguousarray(part), strides=(1,)).copy()
+    if size < 8:
+        tail = np.concatenate([part[-7:], np.zeros(7, np.uint8)])
+        own = np.concatenate([own, np.ndarray((7,), np.dtype("<u8"), tail, strides=(1,))]) & np.uint64((1 << 8 * size) - 1)
+    return own
+
+
+def _minhash(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, k: int) -> np.ndarray:
+    """k minimum hashes of the shingles of each line; the lines are in order and longer than `size`."""
+    if not len(starts):
+        return np.empty((0, k), np.uint32)
+    x = _shingles(part, size)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    low = (x >> np.uint64(32)).astype(np.uint32)
+    edges = np.stack([starts, ends - size + 1], 1).ravel()
+    edges = edges[:-1] if edges[-1] >= len(low) else edges
+    out, g = np.empty((len(starts), k), np.uint32), np.empty_like(low)
+    for j in range(k):
+        np.multiply(low, K._MUL[j], out=g)
+        g += K._ADD[j]
+        out[:, j] = np.minimum.reduceat(g, edges)[::2]
+    return out
 
 
-def _parts(batches: Iterator[pa.RecordBatch]):
+def _parts(batches: Iterator[pa.RecordBatch], limit: int = K.CHUNK):
     for batch in batches:
         nodes = batch.column(0).to_numpy()
         buf, offsets = K.text_bytes(batch.column(1))
-        for i, j in K.slices(offsets):
+        for i, j in K.slices(offsets, limit):
             part, off = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             yield nodes[i:j], part, _lines(part, off)
 
 
 def _signed(size: int, n_bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part, (starts, ends, _, _, names) in _parts(batches):
-            _, once = np.unique(names, return_index=True)
+        for _, part, (starts, ends, _, _, names) in _parts(batches, 1 << 18):  # the arrays of a pass stay in cache
+            once = np.sort(np.unique(names, return_index=True)[1])
             once = once[ends[once] - starts[once] > size]  # a line of one shingle is like equal lines alone
-            sh, first = _shingles(part, starts[once], ends[once], size)
-            keys = K.bands(K.minhash(sh, first, n_bands * rows), rows)
+            keys = K.bands(_minhash(part, starts[once], ends[once], size, n_bands * rows), rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n_bands), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(names[once].view(np.int64)), lists], names=["line", "bands"])
 
     return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for nodes, _, (_, _, rows, number, names) in _parts(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(nodes[rows]), pa.array(number.astype(np.int32))], names=["line", "node", "at"])
-
-
-def _contents(wanted):
-    """(line, content) of the lines wanted (a broadcast sorted array), or of all."""
+def _placed(wanted):
+    """(line, node, at, content) of all lines, with the contents of those wanted (a broadcast sorted array; None: all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         among = None if wanted is None else wanted.value
-        for _, part, (starts, ends, _, _, names) in _parts(batches):
+        for nodes, part, (starts, ends, rows, number, names) in _parts(batches):
             names = names.view(np.int64)
-            _, once = np.unique(names, return_index=True)
+            has = np.ones(len(names), bool)
             if among is not None:
-                if not len(among):
-                    continue
-                at = np.minimum(np.searchsorted(among, names[once]), len(among) - 1)
-                once = once[among[at] == names[once]]
-            s, e = starts[once], ends[once]
-            content = [part[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(names[once]), pa.array(content, pa.binary())], names=["line", "content"])
+                at = np.minimum(np.searchsorted(among, names), max(len(among) - 1, 0))
+                has = among[at] == names if len(among) else np.zeros(len(names), bool)
+            data, content = part.tobytes(), [None] * len(names)
+            for i in np.flatnonzero(has).tolist():
+                content[i] = data[starts[i] : ends[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(nodes[rows]), pa.array(number.astype(np.int32)), pa.array(content, pa.binary())], names=["line", "node", "at", "content"])
 
     return run
 
@@ -114,8 +129,8 @@ def _verified(size: int, least: float):
             if j - i < 2:
                 continue
             lo, hi = int(starts[i]), int(ends[j - 1])
-            sh, f = _shingles(buf[lo:hi], starts[i:j] - lo, ends[i:j] - lo, size)
-            sets = [np.unique(sh[x:y]) for x, y in zip(f[:-1].tolist(), f[1:].tolist())]
+            sh = _shingles(buf[lo:hi], size)
+            sets = [np.unique(sh[x : y - size + 1]) for x, y in zip((starts[i:j] - lo).tolist(), (ends[i:j] - lo).tolist())]
             sizes = np.array([len(s) for s in sets])
             left = list(range(j - i))
             while len(left) > 1:  # as in buckets: each reached member meets only those not reached yet
@@ -154,26 +169,31 @@ def _verified(size: int, least: float):
     return run
 
 
-def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS, least: float = LEAST) -> DataFrame:
-    """(node, comp): names of distinct lines that are like another, with the smallest name of their component."""
+def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(node, comp): names of distinct lines that are like another, with the smallest name of their component; and
+    (line, node, at): the places of all lines, written."""
+    if not 1 <= size <= 8:
+        raise ValueError("a shingle has 1 to 8 bytes")
     spark = docs.sparkSession
     texts = docs.select(node(id_col, text_col).alias("node"), _normal(text_col).alias("text"))
     signed = texts.mapInArrow(_signed(size, n_bands, rows), "line long, bands array<long>")
     banded = signed.dropDuplicates(["line"]).select(F.explode("bands").alias("bucket"), "line")
-    met = banded.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").select("bucket", "line")
-    met = written(met, "candidates")
+    by = Window.partitionBy("bucket")
+    members = [F.count("*").over(by).alias("n"), F.sum(F.xxhash64("line").bitwiseAND(F.lit(2**40 - 1))).over(by).alias("s"), F.expr("bit_xor(xxhash64(line, 7))").over(by).alias("x")]
+    met = banded.select("bucket", "line", *members).where("n > 1")
+    # buckets of the same lines in several bands are one
+    met = written(met.withColumn("one", F.min("bucket").over(Window.partitionBy("n", "s", "x"))).where("bucket = one").select("bucket", "line"), "candidates")
     want = met.select("line").distinct()
-    many = want.count()
-    if many <= BROADCAST_NAMES:
-        names = np.sort(np.array([r[0] for r in want.collect()], np.int64))
-        contents = texts.mapInArrow(_contents(spark.sparkContext.broadcast(names)), "line long, content binary")
-    else:
-        contents = texts.mapInArrow(_contents(None), "line long, content binary").join(want, "line", "left_semi")
-    rows_ = met.join(contents.dropDuplicates(["line"]), "line").select("bucket", "line", "content")
+    wanted = None
+    if want.count() <= BROADCAST_NAMES:
+        wanted = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in want.collect()], np.int64)))
+    places = written(texts.mapInArrow(_placed(wanted), "line long, node long, at int, content binary"), "places")
+    contents = places.where("content is not null").select("line", "content").dropDuplicates(["line"])
+    rows_ = met.join(contents, "line").select("bucket", "line", "content")
     links = rows_.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified(size, least), "a long, b long")
     out = components(links)
     drop(met)
-    return out
+    return out, places.select("line", "node", "at")
 
 
 def _without(text_at: int, gone_at: int):
@@ -209,9 +229,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each of them keeps the document's lines. Other columns stay, except `count_col`, which, if given, gets the new
     length of the text. An empty table gives an empty one.
     """
-    same = similar_lines(docs, id_col, text_col, **settings)
-    texts = docs.select(node(id_col, text_col).alias("node"), _normal(text_col).alias("text"))
-    places = texts.mapInArrow(_places, "line long, node long, at int")
+    same, places = similar_lines(docs, id_col, text_col, **settings)
     grouped = places.join(same.select(F.col("node").alias("line"), "comp"), "line", "left").withColumn("comp", F.coalesce("comp", "line"))
     first = Window.partitionBy("comp")
     lost = grouped.withColumn("keep", F.min(F.struct("node", "at")).over(first)).where("node <> keep.node or at <> keep.at")
