@@ -10,10 +10,16 @@ from pyspark.sql import SparkSession
 
 _SENT: set[str] = set()
 
+#: Arrow batches are bounded by bytes, so that long texts don't make large ones; a value that the session has stays.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Adds a zip of the package to the application once, so that workers on any machine can import it."""
     sc = spark.sparkContext
+    for key, value in BATCH.items():
+        if not sc.getConf().contains(key):
+            spark.conf.set(key, value)
     if sc.applicationId not in _SENT:
         root = Path(__file__).resolve().parent
         with tempfile.TemporaryDirectory() as folder:
