@@ -6,11 +6,20 @@ sums over that buffer, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:  # glibc: large arrays go back to the system as soon as they are free, which keeps reused workers small
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    _LIBC.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+except (OSError, AttributeError):
+    _LIBC = None
+
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -25,7 +34,7 @@ WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 NONSPACE = np.ones(256, bool)
 NONSPACE[[9, 10, 11, 12, 13, 32]] = False
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +81,8 @@ def slices(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
+    if _LIBC:
+        _LIBC.malloc_trim(0)
 
 
 def spans(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -135,7 +135,7 @@ class Decoder:
                         nxt[to] = (new, out)
             best = nxt
         result = max((score + (0 if state % SYMBOLS == END else model[state * SYMBOLS + END]), text) for state, (score, text) in best.items())[1].strip()
-        if len(self.seen) < 1 << 17:  # a cache alone: what isn't in it is decoded again
+        if len(self.seen) < 1 << 15:  # a cache alone: what isn't in it is decoded again
             self.seen[token] = result
         return result
 
@@ -240,7 +240,7 @@ def _feature_counts(model):
         for batch in batches:
             toxic = batch.column(1).to_numpy() == 1
             buf, offsets = K.text_bytes(batch.column(0))
-            for i, j in K.slices(offsets, 4 << 20):
+            for i, j in K.slices(offsets, 1 << 20):
                 part, off = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 text, starts, ends, rows, _ = _words(part, off, decode)
                 for at, names in _features(text, starts, ends):
