@@ -140,7 +140,11 @@ def hit_names(c: Column, rules: tuple[Rule, ...] | None = None) -> Column:
 
 def any_hit(views: Column, rules: tuple[Rule, ...] | None = None) -> Column:
     """Names of the rules that hit any of an array of texts."""
-    return F.array_compact(F.array(*[F.when(F.exists(views, lambda v, r=r: matches(v, r)), F.lit(r.name)) for r in (rules or active())]))
+
+    def hit(r: Rule):
+        return lambda v: matches(v, r)
+
+    return F.array_compact(F.array(*[F.when(F.exists(views, hit(r)), F.lit(r.name)) for r in (rules or active())]))
 
 
 def views(c: Column) -> Column:

@@ -23,6 +23,11 @@ def with_hits(spark, sf_dir, rules=None):
     return planted.documents(spark, sf_dir).withColumn("hits", R.hit_names(F.col("text"), rules))
 
 
+def one_hit(hits):
+    """A row per hit. explode_outer, since explode infers a filter that would compute the hits a second time."""
+    return hits.select("doc_id", F.explode_outer("hits").alias("name")).where("name is not null")
+
+
 @query("r_hits_wide", f"with {planted.SQL}, {hits_sql()} select p.doc_id, coalesce(string_agg(name, ',' order by pos), '') as hits from planted p left join hits h using (doc_id) group by p.doc_id")
 def r_hits_wide(spark, sf_dir):
     return with_hits(spark, sf_dir).select("doc_id", F.array_join("hits", ",").alias("hits"))
@@ -31,7 +36,7 @@ def r_hits_wide(spark, sf_dir):
 @query("r_hits_long", f"with {planted.SQL}, {hits_sql()} select doc_id, name, severity from hits")
 def r_hits_long(spark, sf_dir):
     dim = R.rule_table(spark).select("name", "severity")
-    return with_hits(spark, sf_dir).select("doc_id", F.explode("hits").alias("name")).join(F.broadcast(dim), "name")  # a fixed table
+    return one_hit(with_hits(spark, sf_dir)).join(F.broadcast(dim), "name")  # a fixed table
 
 
 @query("r_severity_sum", f"with {planted.SQL}, {hits_sql()} select p.doc_id, round(coalesce(sum(weight), 0), 6) as rule_score from planted p left join hits h using (doc_id) group by p.doc_id")
@@ -72,7 +77,7 @@ def r_alt_views(spark, sf_dir):
 @query("r_paranoia", f"with {planted.SQL}, l(level) as (values (1), (2), (3)), {_DIM} select level, count(*)::bigint as n_hits, count(distinct doc_id)::bigint as n_docs from l join planted on true join rules on paranoia <= level and regexp_matches(lower(text), pattern) group by level")
 def r_paranoia(spark, sf_dir):
     dim = spark.createDataFrame([(r.name, r.paranoia) for r in R.RULES], "name string, paranoia int")
-    hits = with_hits(spark, sf_dir, R.RULES).select("doc_id", F.explode("hits").alias("name")).join(F.broadcast(dim), "name")  # a fixed table
+    hits = one_hit(with_hits(spark, sf_dir, R.RULES)).join(F.broadcast(dim), "name")  # a fixed table
     level = hits.select("doc_id", "name", F.explode(F.sequence("paranoia", F.lit(3))).alias("level"))
     return level.groupBy("level").agg(F.count("*").alias("n_hits"), F.countDistinct("doc_id").alias("n_docs"))
 
@@ -81,7 +86,7 @@ def r_paranoia(spark, sf_dir):
 def r_histogram(spark, sf_dir):
     from pyspark.sql.window import Window
 
-    n = with_hits(spark, sf_dir).select(F.explode("hits").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    n = one_hit(with_hits(spark, sf_dir)).groupBy("name").agg(F.count("*").alias("n"))
     return n.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"), "name")).cast("bigint"))  # one row per rule
 
 

@@ -1 +1,86 @@
-"""Queries."""
+"""Scoring: the whole scan, routing, chunks and votes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textguard.functions import text as T
+from textguard.operators import features as O
+from textguard.operators import rules as R
+from textguard.operators import vote as V
+from textguard.plans import planted
+from textguard.plans.catalog import query
+from textguard.plans.q_decode import DECODED, peel_sql
+from textguard.plans.q_features import W, n, q
+from textguard.plans.q_rules import _DIM
+
+_VERBS = ", ".join(q(v) for v in O.VERBS)
+_MIX = " + ".join(f"(len(regexp_extract_all(text, '{p}')) >= 3)::int" for p in O.SCRIPTS.values())
+_Z = " + ".join([f"({V.BIAS}::double)", *(f"least({k}, 5) * {w}::double" for k, w in V.LOGIT.items())])
+SCAN_SQL = f"""with {planted.SQL}, {_DIM}, f as (select doc_id, kind, text,
+    (regexp_replace(lower(coalesce({W}[1], '')), '^["''`(\\[{{]+|["''`(\\[{{]+$', '', 'g') in ({_VERBS}))::int as imperative_start, regexp_matches(text, {q(O.ROLE)})::int as role_assignment,
+    regexp_matches(text, {q(O.BOUNDARY)})::int as instruction_boundary, regexp_matches(text, {q(O.NEGATION)})::int as negation_command, {n(O.MANY_SHOT)} as shots, round({n(O.DELIMITER)} / ({n(chr(10))} + 1)::double, 6) as density,
+    {n(O.TEMPLATE)} as template_marker_count, {_MIX} as mix, {peel_sql(map(q, DECODED))} as enc, {peel_sql(DECODED.values())} as inner_text from planted),
+  g as (select *, 1 / (1 + exp(-({_Z}))) as p, imperative_start * 0.05::double + role_assignment * 0.1::double + instruction_boundary * 0.1::double + negation_command * 0.08::double + (shots >= 5)::int * 0.1::double
+    + (density > 2)::int * 0.06::double + (template_marker_count >= 1)::int * 0.05::double + (mix >= 2)::int * 0.04::double as st, case when enc is null then 0 else 0.15::double end as obf from f),
+  h as (select doc_id, sum(weight) as rule, bool_or(severity = 'critical_content') as content, bool_or(severity <> 'medium') as strong, string_agg(name, ',' order by pos) as hits
+    from planted join rules on paranoia <= 2 and regexp_matches(lower(text), pattern) group by doc_id),
+  i as (select doc_id, count(*) as n_inner from f join rules on paranoia <= 2 and inner_text is not null and regexp_matches(lower(inner_text), pattern) group by doc_id),
+  j as (select g.*, coalesce(rule, 0) as rule, coalesce(content, false) as content, coalesce(strong, false) or n_inner is not null as strong, hits is not null or n_inner is not null as weak, coalesce(hits, '') as hits, n_inner is not null as payload
+    from g left join h using (doc_id) left join i using (doc_id)),
+  k as (select *, 0.6::double * p + rule + payload::int * 0.3::double + obf + st as total, (rule > 0 or payload)::int + (obf > 0)::int + (st > 0)::int + (p > 0.5)::int as layers from j),
+  l as (select *, case when content then greatest(total, 0.6::double) else total end as floor_, case when (layers >= 3 and weak) or (layers >= 2 and strong) or (layers >= 2 and weak and p > 0.45) then case when layers >= 4 then 0.15::double when layers = 3 then 0.12::double else 0.1::double end else 0 end as boost from k),
+  s as (select *, round(least(greatest(case when 1 - p > 0.65 and rule = 0 and not payload then least(floor_, {V.THRESHOLD - 0.01}::double) else floor_ end + boost, 0), 1), 4) as risk from l)"""
+
+
+def scanned(spark, sf_dir):
+    return V.scan(planted.documents(spark, sf_dir))
+
+
+@query("scan_documents", f"{SCAN_SQL} select doc_id, kind, round(p, 6) as p, hits, coalesce(enc, '') as encoding, risk, case when risk >= {V.THRESHOLD} then 'malicious' else 'safe' end as label from s")
+def scan_documents(spark, sf_dir):
+    return scanned(spark, sf_dir).select("doc_id", "kind", F.round("p", 6).alias("p"), F.array_join("hits", ",").alias("hits"), "encoding", "risk", "label")
+
+
+@query("s_risk_buckets", f"{SCAN_SQL} select least(floor(risk * 10), 9)::bigint as bucket, count(*)::bigint as n, count(*) filter (kind < 8)::bigint as attacks from s group by 1")
+def s_risk_buckets(spark, sf_dir):
+    s = scanned(spark, sf_dir).select(F.least(F.floor(F.col("risk") * 10), F.lit(9)).cast("long").alias("bucket"), "kind")
+    return s.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("kind") < 8).alias("attacks"))
+
+
+_CHUNK = f"c as (select doc_id, {W} as w from planted), s as (select doc_id, w, unnest(range(0, greatest(1, len(w) - 64), 448)) as pos_ from c where len(w) > 512)"
+
+
+@query("s_chunks", f"with {planted.SQL}, {_CHUNK} select doc_id, (pos_ // 448)::bigint as chunk, len(w[pos_ + 1:pos_ + 512])::bigint as words, md5(array_to_string(w[pos_ + 1:pos_ + 512], ' ')) as digest from s where pos_ < 20 * 448")
+def s_chunks(spark, sf_dir):
+    """Windows of 512 words, 448 apart, at most 20 a text, of texts of more words."""
+    d = planted.documents(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("w")).where(F.size("w") > 512)
+    d = d.select("doc_id", "w", F.posexplode(F.slice(F.sequence(F.lit(0), F.size("w") - 65, F.lit(448)), 1, 20)).alias("chunk", "at"))
+    part = F.slice("w", F.col("at") + 1, F.lit(512))
+    return d.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size(part).cast("long").alias("words"), F.md5(F.array_join(part, " ")).alias("digest"))
+
+
+@query("s_technique_tags")
+def s_technique_tags(spark, sf_dir):
+    t = scanned(spark, sf_dir).select(F.explode_outer("techniques").alias("technique"), "label").where("technique is not null")
+    return t.groupBy("technique").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "malicious").alias("malicious"))
+
+
+@query("s_ensemble", "select doc_id, round(0.6::double * p_a + 0.4::double * p_b, 6) as risk, 0.6::double * p_a + 0.4::double * p_b >= 0.55 as malicious from (select doc_id, (doc_id % 101) / 100.0::double as p_a, (doc_id % 53) / 52.0::double as p_b from documents)")
+def s_ensemble(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.pmod("doc_id", F.lit(101)) / 100).alias("p_a"), (F.pmod("doc_id", F.lit(53)) / 52).alias("p_b"))
+    risk = 0.6 * F.col("p_a") + 0.4 * F.col("p_b")
+    return d.select("doc_id", F.round(risk, 6).alias("risk"), (risk >= 0.55).alias("malicious"))
+
+
+@query("s_judge_vote", """with v as (select conv_id, case when turn % 3 = 0 then 'SAFE' when turn % 5 = 4 then 'UNKNOWN' else 'MALICIOUS' end as verdict, (turn % 4 + 6) / 10.0::double as conf from conversations),
+  c as (select conv_id, count(*) filter (verdict <> 'UNKNOWN') as valid, count(*) as n, count(*) filter (verdict = 'SAFE') as safe, count(*) filter (verdict = 'MALICIOUS') as bad, avg(conf) filter (verdict <> 'UNKNOWN') as mean from v group by conv_id)
+select conv_id, case when valid < n // 2 + 1 then 'UNKNOWN' when safe > bad then 'SAFE' else 'MALICIOUS' end as verdict, case when valid < n // 2 + 1 then 0.0::double else round((greatest(safe, bad) / valid::double + mean) / 2, 6) end as confidence from c""")
+def s_judge_vote(spark, sf_dir):
+    """Majority of the judge's calls of a conversation; a tie is malicious, too few valid calls decide nothing."""
+    v = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.when(F.col("turn") % 3 == 0, "SAFE").when(F.col("turn") % 5 == 4, "UNKNOWN").otherwise("MALICIOUS").alias("verdict"), ((F.col("turn") % 4 + 6) / 10).alias("conf"))
+    known = F.col("verdict") != "UNKNOWN"
+    c = v.groupBy("conv_id").agg(F.count_if(known).alias("valid"), F.count("*").alias("n"), F.count_if(F.col("verdict") == "SAFE").alias("safe"), F.count_if(F.col("verdict") == "MALICIOUS").alias("bad"), F.avg(F.when(known, F.col("conf"))).alias("mean"))
+    few = F.col("valid") < F.floor(F.col("n") / 2) + 1
+    share = F.round((F.greatest("safe", "bad") / F.when(F.col("valid") > 0, F.col("valid")) + F.col("mean")) / 2, 6)
+    return c.select("conv_id", F.when(few, "UNKNOWN").when(F.col("safe") > F.col("bad"), "SAFE").otherwise("MALICIOUS").alias("verdict"), F.when(few, 0.0).otherwise(share).alias("confidence"))
