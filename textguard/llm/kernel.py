@@ -148,7 +148,7 @@ def minhash(names: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
 def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     """Keys (int64) of the bands of `rows` minimum hashes; a key holds the band's number."""
     n, k = signature.shape
-    s = signature[:, : k // rows * rows].astype(np.uint64).reshape(n, -1, rows)
+    s = signature[:, : k // rows * rows].astype(np.uint64).reshape(n, k // rows, rows)
     acc = np.broadcast_to(mix(np.arange(s.shape[1], dtype=np.uint64) + np.uint64(77)), s.shape[:2]).copy()
     for r in range(rows):
         acc = mix(acc ^ (s[:, :, r] + np.uint64(_BASE)))

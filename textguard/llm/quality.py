@@ -66,7 +66,7 @@ def _weighed(ratio):
             buf, offsets = K.text_bytes(batch.column(1))
             for i, j in K.slices(offsets):
                 at, row = _buckets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], len(table))
-                weight = np.bincount(row, table[at], minlength=j - i)
+                weight = np.bincount(row, table[at], minlength=j - i).astype(float)  # of nothing it gives integers
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(weight)], names=["doc_id", "hash", "log_weight"])
 
     return run
@@ -94,7 +94,8 @@ def log_weights(
     if raw.sum() and target.sum():
         q = raw / raw.sum()
         p = q * (target + PRIOR) / (target.sum() * q + PRIOR)
-        ratio = np.where(raw > 0, np.log(p / p.sum() / np.maximum(q, 1e-300)), 0.0)
+        seen = raw > 0
+        ratio[seen] = np.log(p[seen] / p.sum() / q[seen])
     held = spark.sparkContext.broadcast(ratio)
     return keyed.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(_weighed(held), "doc_id long, hash long, log_weight double")
 

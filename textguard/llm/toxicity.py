@@ -227,7 +227,7 @@ class Model:
                 top[w] = np.maximum(top[w], self.weights[place[hit]])
         hits = top > 0
         restored = hits & (np.arange(len(starts)) >= plain)
-        return np.bincount(rows, top, minlength=n), np.bincount(rows[hits], minlength=n), np.bincount(rows[restored], minlength=n), words
+        return np.bincount(rows, top, minlength=n).astype(float), np.bincount(rows[hits], minlength=n), np.bincount(rows[restored], minlength=n), words
 
     def probability(self, total: np.ndarray, words: np.ndarray) -> np.ndarray:
         z = self.coef[0] + self.coef[1] * np.log1p(total) + self.coef[2] * np.log1p(100 * total / np.maximum(words, 1))
