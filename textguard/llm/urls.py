@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textguard.llm.common import drop, written
+
 #: Levels of the tree (deeper segments fold into one), the children from which a node is variable, z of a merge,
 #: weight of the overall share in the smoothed one, and the smoothed share from which a template is rejected.
 DEPTH, MANY, Z, WEIGHT, REJECT = 4, 20, 1.96, 5.0, 0.4
@@ -34,9 +36,11 @@ def shapes(urls: DataFrame, url_col: str) -> DataFrame:
 
 
 def templates(counted: DataFrame, depth: int = DEPTH, many: int = MANY, z: float = Z) -> DataFrame:
-    """From (host, shape, n, labelled, bad): the same with `template`."""
-    tree = counted.withColumn("template", F.lit("")).withColumn("seg", F.split("shape", "/"))
+    """From (host, shape, n, labelled, bad): the same with `template`. Each level of the tree is written, since a level
+    reads the one above twice and the plan would double with each."""
+    tree = written(counted.withColumn("template", F.lit("")).withColumn("seg", F.split("shape", "/")), "tree")
     for k in range(depth):
+        above = tree
         tree = tree.withColumn("child", F.get("seg", F.lit(k)))
         at = ["host", "template", "child"]
         branch = tree.where("child is not null and child <> ''").groupBy(*at).agg(F.sum("n").alias("c_n"), F.sum("labelled").alias("c_l"), F.sum("bad").alias("c_b"))
@@ -58,6 +62,8 @@ def templates(counted: DataFrame, depth: int = DEPTH, many: int = MANY, z: float
         named = branch.select(F.col("host").alias("h_"), F.col("template").alias("t_"), F.col("child").alias("c_"), name.alias("name"))
         joined = tree.join(named, (F.col("host") == F.col("h_")) & (F.col("template") == F.col("t_")) & (F.col("child") == F.col("c_")), "left")
         tree = joined.withColumn("template", F.concat("template", F.when(F.col("name").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.col("name"))))).drop("h_", "t_", "c_", "name", "child")
+        tree = written(tree, "tree")
+        drop(above)
     return tree.drop("seg")
 
 
