@@ -47,22 +47,26 @@ def _normal(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text, grown
 
 
-def test_strings(items: list[tuple[int, bytes]], words: int = WORDS, least_words: int = LEAST_WORDS) -> list[tuple[bytes, int]]:
-    """(test string, item) of normalised items: every run of `words` words, or the whole of a shorter item."""
-    out: dict[bytes, int] = {}
+def test_strings(items: list[tuple[int, bytes]], words: int = WORDS, least_words: int = LEAST_WORDS) -> list[tuple[bytes, tuple[int, ...]]]:
+    """(test string, all items that hold it) of normalised items: every run of `words` words, or the whole of a
+    shorter item."""
+    out: dict[bytes, tuple[int, ...]] = {}
     for item, text in sorted(items):
         w = text.split()
         if len(w) < least_words:
             continue
         for i in range(max(1, len(w) - words + 1)):
-            out.setdefault(b" " + b" ".join(w[i : i + words]) + b" ", item)
+            key = b" " + b" ".join(w[i : i + words]) + b" "
+            held = out.get(key, ())
+            if not held or held[-1] != item:  # items come in order
+                out[key] = (*held, item)
     return sorted(out.items())
 
 
 class WuManber:
     """Searches bytes for patterns. `m` bytes of each pattern decide; shifts and buckets go by the block's content."""
 
-    def __init__(self, patterns: list[tuple[bytes, int]], block: int = BLOCK):
+    def __init__(self, patterns: list[tuple[bytes, tuple[int, ...]]], block: int = BLOCK):
         self.m = min(len(p) for p, _ in patterns)
         self.block = b = min(block, max(2, self.m // 2))
         self.most = self.m - b + 1
@@ -93,7 +97,7 @@ class WuManber:
         return found
 
 
-def _searchers(patterns: list[tuple[bytes, int]]) -> list[WuManber]:
+def _searchers(patterns: list[tuple[bytes, tuple[int, ...]]]) -> list[WuManber]:
     """Short patterns have tables of their own, as the shortest one bounds the shifts of all."""
     halves = [[p for p in patterns if (len(p[0]) < 32) == small] for small in (False, True)]
     return [WuManber(h) for h in halves if h]
@@ -112,8 +116,8 @@ def _find(patterns):
                     per: dict[int, int] = {}
                     for s in searchers:
                         for _, k in s.search(data, lo, hi):
-                            item = s.patterns[k][1]
-                            per[item] = per.get(item, 0) + 1
+                            for item in s.patterns[k][1]:
+                                per[item] = per.get(item, 0) + 1
                     found += [(r, item, n) for item, n in per.items()]
                 nodes = batch.column(0).slice(i, j - i)
                 cols = list(zip(*found)) or [[], [], []]
@@ -138,11 +142,11 @@ def contaminated(
 
     Text and items compare as words (runs of letters and digits, lower case). An item's test strings are its runs of
     `words` words, so any `words` words in a row count; an item of fewer words is one test string, of fewer than
-    `least_words` none, as it would occur by chance. A test string of several items counts for the smallest item.
+    `least_words` none, as it would occur by chance. A test string of several items counts for each of them.
 
     Null and empty texts and items hold nothing; a null item id counts as -1; repeated items count once and repeated
     documents give repeated rows summed up; doc_id is the key of textguard.llm.common.node. Empty tables give an
-    empty result. A benchmark of more than `part_bytes` is searched in parts, each read from the documents anew.
+    empty result. A benchmark of more than `part_bytes` is searched in parts of whole items, each read from the documents anew.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.lit(-1)).alias("item_id"), F.lower(F.col(item_text_col)).alias("text")).distinct()
@@ -152,7 +156,7 @@ def contaminated(
     keyed = docs.select(node(id_col, text_col).alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
     out = None
     for k in range(parts):
-        mine = clean.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else clean
+        mine = clean.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else clean
         patterns = test_strings([(r[0], bytes(r[1])) for r in mine.collect()], words, least_words)
         if patterns:
             found = keyed.mapInArrow(_find(spark.sparkContext.broadcast(patterns)), "doc_id long, item_id long, hits long")
