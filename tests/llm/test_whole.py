@@ -2,7 +2,11 @@
 
 import re
 
-from textguard.llm import decontam
+import pyarrow as pa
+import pytest
+
+from textguard.llm import decontam, toxicity
+from textguard.llm import kernel as K
 from textguard.session import ship
 
 
@@ -25,3 +29,25 @@ def test_decontamination_gives_every_item_of_a_string(spark):
     tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for part_bytes in (1 << 20, 100, 1):
         assert {(r.doc_id, r.item_id): r.hits for r in decontam.contaminated(*tables, part_bytes=part_bytes).collect()} == brute
+
+
+@pytest.fixture(scope="module")
+def decode():
+    text = "you are a stupid idiot and an ass or not so wise " * 200
+    b = next(toxicity.trigram_counts(iter([pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])])))
+    return toxicity.Decoder(toxicity.log_model(b.column(0).to_numpy(), b.column(1).to_numpy().astype(float)))
+
+
+@pytest.mark.parametrize(
+    "text, word",
+    [("iidiioott", "idiot"), ("@$$", "ass"), ("455", "ass"), ("st-up-id", "stupid"), ("id.iot", "idiot"), ("st’up’id", "stupid"), ("idio+", "idiot"), ("st up id", "stupid"), ("s tu p i d", "stupid"), ("id iot", "idiot"), ("you id iot", "idiot"), ("5t up 1d", "stupid"), ("s t u p i d", "stupid"), ("st0pid 1diot", "idiot")],
+)
+def test_toxicity_restores_whatever_the_lattice_can_undo(decode, text, word):
+    part, off = K.text_bytes(pa.array(["wise", f"so {text} and", ""]))
+    joined, starts, ends, rows, plain = toxicity._words(part, off, decode)
+    assert word in {joined[s:e].tobytes().decode() for s, e, r in zip(starts[plain:], ends[plain:], rows[plain:]) if r == 1}
+
+
+def test_toxicity_counts_a_spaced_word_once(decode):
+    joined, starts, ends, _, plain = toxicity._words(*K.text_bytes(pa.array(["you s t u p i d"])), decode)
+    assert [joined[s:e].tobytes() for s, e in zip(starts[plain:], ends[plain:])] == [b"stupid"]

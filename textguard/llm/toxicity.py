@@ -1,7 +1,7 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-A character trigram model is counted over all documents. Tokens that show leetspeak, spaced-out letters or repeated
-letters become a lattice (each symbol may stand for letters, separators and repeats may drop), Viterbi decoding
+A character trigram model is counted over all documents. Tokens with symbols that may stand for letters, with doubled
+letters or with separators inside, and neighbours of at most PIECE characters, become a lattice (each symbol may stand for letters, separators and repeats may drop), Viterbi decoding
 under the model picks the most likely reading, and the readings join the plain words. Words are scored by weights
 of whole words and word beginnings that labelled documents give, documents by a logistic model over their words.
 """
@@ -25,6 +25,8 @@ TRAIN_TOXIC, TRAIN_CLEAN = 6000, 12000
 #: Word beginnings (bytes) that are features; weights that are kept; the least evidence (log odds) and documents of one.
 STARTS, LEXICON, LEAST_WEIGHT, LEAST_DOCS = (4, 5, 6, 7, 8, 9, 10), 4096, 1.5, 3
 THRESHOLD = 0.5
+#: Characters of the pieces that are joined over spaces; of a word in longer pieces each piece stays a word.
+PIECE = 3
 
 SYMBOLS = 60  # a-z, U+00E0-U+00FF, other letters, and what ends a word
 OTHER, END = 58, 59
@@ -93,7 +95,7 @@ class Decoder:
 
     def __init__(self, model: np.ndarray):
         self.model = model.ravel().tolist()
-        self.seen: dict[str, str] = {}
+        self.seen: dict[str, list[bytes]] = {}
 
     def arcs(self, token: str, i: int) -> list[tuple[str, float]]:
         """What the i-th character may stand for ('' for nothing, ' ' for a word's end), with log probabilities."""
@@ -116,8 +118,6 @@ class Decoder:
         return out
 
     def __call__(self, token: str) -> str:
-        if (known := self.seen.get(token)) is not None:
-            return known
         model = self.model
         best: dict[int, tuple[float, str]] = {END * SYMBOLS + END: (0.0, "")}
         for i in range(len(token)):
@@ -134,14 +134,21 @@ class Decoder:
                     if to not in nxt or new > nxt[to][0]:
                         nxt[to] = (new, out)
             best = nxt
-        result = max((score + (0 if state % SYMBOLS == END else model[state * SYMBOLS + END]), text) for state, (score, text) in best.items())[1].strip()
-        if len(self.seen) < 1 << 15:  # a cache alone: what isn't in it is decoded again
-            self.seen[token] = result
-        return result
+        return max((score + (0 if state % SYMBOLS == END else model[state * SYMBOLS + END]), text) for state, (score, text) in best.items())[1].strip()
 
+    def restored(self, token: str) -> list[bytes]:
+        """The words of a token's reading that the token itself doesn't hold."""
+        found = self.seen.get(token)
+        if found is None:
+            found = [w.encode() for w in self(token).split() if w not in token]
+            if len(self.seen) < 1 << 17:  # a cache alone: what isn't in it is decoded again
+                self.seen[token] = found
+        return found
 
-def noisy_tokens(part: np.ndarray, off: np.ndarray) -> list[tuple[int, str]]:
-    """(row, token) of the tokens, or runs of single characters, that may be obfuscated."""
+
+def noisy_tokens(part: np.ndarray, off: np.ndarray) -> list[tuple[int, str, list[str]]]:
+    """(row, token, runs) of the tokens, or runs of short pieces, that may be obfuscated; runs: the runs of single
+    characters within a run of pieces, as other pieces beside them may hide how they read."""
     starts, ends, bounds = K.spans(part, off, K.NONSPACE)
     if not len(starts):
         return []
@@ -152,27 +159,44 @@ def noisy_tokens(part: np.ndarray, off: np.ndarray) -> list[tuple[int, str]]:
 
     letter = _LETTER[part]
     n = len(part)
-    runs = np.zeros(n, bool)
-    runs[2:] = letter[2:] & (part[2:] == part[1:-1]) & (part[1:-1] == part[:-2]) & (part[2:] < 128)
-    lone = np.zeros(n, bool)  # separator, letter, separator
+    same = np.zeros(n, bool)  # a letter of one or two bytes and the same again
+    same[1:] = letter[1:] & (part[1:] == part[:-1]) & (part[1:] < 128)
+    same[3:] |= (part[3:] & 0xC0 == 0x80) & (part[3:] == part[1:-2]) & (part[2:-1] == part[:-3]) & (part[2:-1] >= 0xC3) & (part[2:-1] < 0xE0)
+    mark = _LEETS[part] | _SOFT[part]
     sep = _SEP[part]
-    lone[1:-1] = sep[:-2] & letter[1:-1] & sep[2:]
-    soft = np.zeros(n, bool)
-    soft[:-1] = _SOFT[part[:-1]] & letter[1:]
-    letters = inside(letter)
-    noisy = (letters > 0) & ((inside(_LEETS[part]) > 0) | (inside(soft) > 0) | (inside(runs) > 0) | (inside(lone) > 0))
+    for c, of in (("€", mark), ("’", sep)):
+        x, y, z = c.encode()
+        of[2:] |= (part[2:] == z) & (part[1:-1] == y) & (part[:-2] == x)
+    first = np.zeros(n, bool)
+    first[starts] = True
+    cut = np.zeros(n, bool)  # a separator inside a token
+    cut[:-1] = sep[:-1] & ~first[:-1] & (letter[1:] | mark[1:])
+    letters, marks = inside(letter), inside(mark)
+    noisy = ((letters > 0) & ((marks > 0) | (inside(same) > 0) | (inside(cut) > 0))) | (marks >= 3)
     row = np.searchsorted(bounds, np.arange(len(starts)), side="right") - 1
     data = part.tobytes()
-    out = [(int(row[t]), data[starts[t] : ends[t]].decode("utf-8", "ignore")) for t in np.flatnonzero(noisy).tolist()]
-    # runs of three or more single characters
+    out: list[tuple[int, str, list[str]]] = [(int(row[t]), data[starts[t] : ends[t]].decode("utf-8", "ignore"), []) for t in np.flatnonzero(noisy).tolist()]
     chars = inside((part & 0xC0) != 0x80)
-    plain = inside(letter | _LEETS[part] | _SOFT[part])
-    single = (chars == 1) & (plain > 0)
-    joint = single & np.concatenate([[False], single[:-1] & (row[1:] == row[:-1])])
-    first = np.flatnonzero(single & ~joint)
-    last = np.flatnonzero(single & ~np.concatenate([joint[1:], [False]]))
-    long = last - first >= 2
-    return out + [(int(row[a]), b" ".join(data[starts[t] : ends[t]] for t in range(a, b + 1)).decode("utf-8", "ignore")) for a, b in zip(first[long].tolist(), last[long].tolist())]
+    plain = letters + marks
+
+    def neighbours(short: np.ndarray, least: int) -> list[tuple[int, int]]:
+        joint = short & np.concatenate([[False], short[:-1] & (row[1:] == row[:-1])])
+        a = np.flatnonzero(short & ~joint)
+        b = np.flatnonzero(short & ~np.concatenate([joint[1:], [False]])) + 1
+        long = b - a >= least
+        return list(zip(a[long].tolist(), b[long].tolist()))
+
+    def joined(a: int, b: int) -> str:
+        return b" ".join([data[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())]).decode("utf-8", "ignore")
+
+    single, at = neighbours((chars == 1) & (plain > 0), 3), 0
+    for a, b in neighbours((chars <= PIECE) & (plain > 0), 2):
+        inner = []
+        while at < len(single) and single[at][1] <= b:
+            inner += [joined(*single[at])] if single[at] != (a, b) else []
+            at += 1
+        out.append((int(row[a]), joined(a, b), inner))
+    return out
 
 
 def _features(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -191,8 +215,12 @@ def _words(part: np.ndarray, off: np.ndarray, decode: Decoder) -> tuple[np.ndarr
     starts, ends, bounds = K.spans(part, off, K.WORD)
     rows = np.repeat(np.arange(len(off) - 1), np.diff(bounds))
     again: list[tuple[int, bytes]] = []
-    for row, token in noisy_tokens(part, off):
-        again += [(row, w.encode()) for w in decode(token).split() if w not in token]
+    for row, token, runs in noisy_tokens(part, off):
+        words = decode.restored(token)
+        for run in runs:
+            words = words + [w for w in decode.restored(run) if w not in words]
+        if words:
+            again += [(row, w) for w in words]
     if not again:
         return part, starts, ends, rows, len(rows)
     more = np.frombuffer(b" ".join(w for _, w in again), np.uint8)
