@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
 import re
 
 import pyarrow as pa
@@ -51,3 +52,15 @@ def test_toxicity_restores_whatever_the_lattice_can_undo(decode, text, word):
 def test_toxicity_counts_a_spaced_word_once(decode):
     joined, starts, ends, _, plain = toxicity._words(*K.text_bytes(pa.array(["you s t u p i d"])), decode)
     assert [joined[s:e].tobytes() for s, e in zip(starts[plain:], ends[plain:])] == [b"stupid"]
+
+
+def test_toxicity_keeps_every_feature_with_evidence(spark):
+    ship(spark)
+    draw = random.Random(1)
+    words = ["".join(draw.choices("bcdfghjklmnpqrstvwxyz", k=12)) for _ in range(800)]
+    rare = words[700:]
+    docs = [(i, " ".join(words if i < 20 else words[:700])) for i in range(60)] + [(100 + i, "plain words of a clean text") for i in range(1000)]
+    labels = [(i, int(i < 100)) for i, _ in docs]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = toxicity.score(spark.createDataFrame([(" ".join(rare),)], "text string"), model).first()
+    assert found.hits_ >= len(rare)

@@ -22,8 +22,8 @@ from textguard.llm.common import fields, fresh, node
 
 #: Labelled documents that the classifier is fitted on, of each class at most.
 TRAIN_TOXIC, TRAIN_CLEAN = 6000, 12000
-#: Word beginnings (bytes) that are features; weights that are kept; the least evidence (log odds) and documents of one.
-STARTS, LEXICON, LEAST_WEIGHT, LEAST_DOCS = (4, 5, 6, 7, 8, 9, 10), 4096, 1.5, 3
+#: Word beginnings (bytes) that are features; the least evidence (log odds) and documents of one.
+STARTS, LEAST_WEIGHT, LEAST_DOCS = (4, 5, 6, 7, 8, 9, 10), 1.5, 3
 THRESHOLD = 0.5
 #: Characters of the pieces that are joined over spaces; of a word in longer pieces each piece stays a word.
 PIECE = 3
@@ -331,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n_t, n_c = (min(share[1], train_toxic), min(share[0], train_clean))
     odds = F.log((F.col("t") + 0.5) / (F.lit(n_t + 0.5) - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (F.lit(n_c + 0.5) - F.col("c") + 0.5))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    kept = counts.withColumn("w", odds).withColumn("z", F.col("w") / error).where((F.col("w") >= LEAST_WEIGHT) & (F.col("z") >= 3)).orderBy(F.desc("z"), "name").limit(LEXICON).collect()
+    kept = counts.withColumn("w", odds).withColumn("z", F.col("w") / error).where((F.col("w") >= LEAST_WEIGHT) & (F.col("z") >= 3)).select("name", "w").collect()  # the labelled sample bounds them
     kept.sort(key=lambda r: r["name"] % 2**64)
     model.names = np.array([r["name"] for r in kept], np.int64).view(np.uint64)
     model.weights = np.array([r["w"] for r in kept], float)
