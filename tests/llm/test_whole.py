@@ -6,7 +6,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from textguard.llm import decontam, toxicity
+from textguard.llm import decontam, suffix, toxicity
 from textguard.llm import kernel as K
 from textguard.session import ship
 
@@ -64,3 +64,21 @@ def test_toxicity_keeps_every_feature_with_evidence(spark):
     model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     found = toxicity.score(spark.createDataFrame([(" ".join(rare),)], "text string"), model).first()
     assert found.hits_ >= len(rare)
+
+
+@pytest.mark.parametrize("q", [3, 5, 7])
+def test_passages_by_several_rounds(spark, q):
+    ship(spark)
+    draw, words = random.Random(2), 20
+    assert len(suffix._steps(words, q)) > 1
+    texts = [draw.choices("abcdefgh", k=80) for _ in range(6)]
+    for i, j, a, b, n in [(0, 1, 3, 40, 30), (1, 2, 50, 0, 20), (0, 3, 60, 60, 20), (2, 4, 10, 5, 19), (4, 5, 30, 30, 45)]:
+        texts[j][b : b + n] = texts[i][a : a + n]
+    where = {}
+    for d, t in enumerate(texts):
+        for i in range(len(t) - words + 1):
+            where.setdefault(tuple(t[i : i + words]), []).append((d, i))
+    shared = {x for at in where.values() if len({d for d, _ in at}) > 1 for x in at}
+    brute = {(d, w) for d, i in shared for w in range(i, i + words)}
+    rows = suffix.repeated_passages(spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string"), words=words, q=q).collect()
+    assert brute and {(r.doc_id, w) for r in rows for w in range(r.start_word, r.end_word)} == brute
