@@ -6,7 +6,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from textguard.llm import decontam, suffix, toxicity
+from textguard.llm import decontam, suffix, toxicity, urls
 from textguard.llm import kernel as K
 from textguard.session import ship
 
@@ -82,3 +82,12 @@ def test_passages_by_several_rounds(spark, q):
     brute = {(d, w) for d, i in shared for w in range(i, i + words)}
     rows = suffix.repeated_passages(spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string"), words=words, q=q).collect()
     assert brute and {(r.doc_id, w) for r in rows for w in range(r.start_word, r.end_word)} == brute
+
+
+def test_url_tree_has_all_levels(spark):
+    ship(spark)
+    pages = [(i, f"http://h.example.com/a/b/c/{'bad' if i % 2 else 'good'}/x/{i}") for i in range(80)]
+    labels = [(i, i % 2) for i in range(80)]
+    found = urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "label_id long, bad int")).collect()
+    assert len(found) == 80 and all(r.rejected == bool(r.page_id % 2) for r in found)
+    assert {r.template for r in found} == {"/a/b/c/bad/x/<num>", "/a/b/c/good/x/<num>"}

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from textguard.llm.common import drop, written
 
-#: Levels of the tree (deeper segments fold into one), the children from which a node is variable, z of a merge,
+#: Levels of the tree that the SQL spells out (the operator builds all), the children from which a node is variable, z of a merge,
 #: weight of the overall share in the smoothed one, and the smoothed share from which a template is rejected.
 DEPTH, MANY, Z, WEIGHT, REJECT = 4, 20, 1.96, 5.0, 0.4
 
@@ -22,7 +22,7 @@ _PATH = r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
 def shapes(urls: DataFrame, url_col: str) -> DataFrame:
-    """Adds `host` and `shape`, the first DEPTH path segments with typed wildcards joined by '/'."""
+    """Adds `host` and `shape`, the path segments with typed wildcards joined by '/'."""
     low = F.lower(F.coalesce(F.col(url_col), F.lit("")))
     segments = F.filter(F.split(F.regexp_extract(low, _PATH, 1), "/"), lambda s: s != "")
     typed = F.transform(
@@ -31,15 +31,14 @@ def shapes(urls: DataFrame, url_col: str) -> DataFrame:
         .when(s.rlike("^[0-9a-f]{8,}$"), F.lit("<hex>"))
         .otherwise(s),
     )
-    folded = F.when(F.size(typed) > DEPTH, F.concat(F.slice(typed, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(typed)
-    return urls.withColumn("host", F.regexp_extract(low, _HOST, 1)).withColumn("shape", F.array_join(folded, "/"))
+    return urls.withColumn("host", F.regexp_extract(low, _HOST, 1)).withColumn("shape", F.array_join(typed, "/"))
 
 
-def templates(counted: DataFrame, depth: int = DEPTH, many: int = MANY, z: float = Z) -> DataFrame:
+def templates(counted: DataFrame, many: int = MANY, z: float = Z) -> DataFrame:
     """From (host, shape, n, labelled, bad): the same with `template`. Each level of the tree is written, since a level
     reads the one above twice and the plan would double with each."""
     tree = written(counted.withColumn("template", F.lit("")).withColumn("seg", F.split("shape", "/")), "tree")
-    for k in range(depth):
+    for k in range(tree.agg(F.max(F.size("seg"))).first()[0] or 0):
         above = tree
         tree = tree.withColumn("child", F.get("seg", F.lit(k)))
         at = ["host", "template", "child"]
@@ -67,7 +66,7 @@ def templates(counted: DataFrame, depth: int = DEPTH, many: int = MANY, z: float
     return tree.drop("seg")
 
 
-def judge_urls(urls: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", depth: int = DEPTH, many: int = MANY, z: float = Z, weight: float = WEIGHT, reject: float = REJECT) -> DataFrame:
+def judge_urls(urls: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", many: int = MANY, z: float = Z, weight: float = WEIGHT, reject: float = REJECT) -> DataFrame:
     """(page_id, url, host, template, share, rejected): the template of every URL, its smoothed share of bad labels,
     and whether it is rejected.
 
@@ -85,7 +84,7 @@ def judge_urls(urls: DataFrame, labels: DataFrame, id_col: str = "page_id", url_
     known = labels.where("label_id is not null and bad is not null").groupBy(F.col("label_id").cast("long").alias("l_")).agg(F.max(F.col("bad").cast("long")).alias("bad_"))
     marked = own.join(known, F.col("number") == F.col("l_"), "left")
     counted = marked.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad_").alias("labelled"), F.coalesce(F.sum("bad_"), F.lit(0).cast("long")).alias("bad"))
-    tree = templates(counted, depth, many, z)
+    tree = templates(counted, many, z)
     total = tree.agg(F.sum("bad").alias("b_all"), F.sum("labelled").alias("l_all"))
     per = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l_t"), F.sum("bad").alias("b_t"))
     overall = F.when(F.col("l_all") > 0, F.col("b_all") / F.col("l_all")).otherwise(0.0)
