@@ -1,7 +1,8 @@
 """Candidate buckets: verified links inside each bucket, then distributed union-find.
 
 A bucket of any size is worked off exactly: a breadth-first search compares each reached member only with those
-not reached yet, so a bucket of near-identical members costs one pass, and no pair is skipped.
+not reached yet, so a bucket of near-identical members costs one pass, and no pair is skipped. A bucket of more than
+HOT members is cut into chunks, and every two chunks meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -12,14 +13,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from textguard.llm.common import components, drop, written
+from textguard.llm.common import KEY, components, drop, written
+
+#: Members of a bucket that one task compares; larger ones are cut into chunks of this size.
+HOT = 8192
+NODE = np.dtype([("id", "<i8"), ("own", "<i8")])
 
 #: (sketch of one member, sketches of others) -> similarities
 Similarity = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
+def nodes_of(column: pa.Array) -> np.ndarray:
+    """Keys of documents as a structured array."""
+    out = np.empty(len(column), NODE)
+    out["id"], out["own"] = (c.to_numpy() for c in column.flatten())
+    return out
+
+
+def nodes_to(nodes: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(nodes[c])) for c in NODE.names], names=list(NODE.names))
+
+
 def odd_similarity(samples: int, bits: int) -> Similarity:
     """Jaccard similarity from the XOR of two odd sketches of `samples` minimum hashes."""
     table = np.arange(bits + 1) / bits
@@ -49,9 +64,9 @@ def odd_sketch(signature: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.reshape(n, bits), axis=1)
 
 
-def _forest(nodes: np.ndarray, sketches: np.ndarray, similarity: Similarity, least: float) -> list[tuple[int, int]]:
+def _forest(nodes: np.ndarray, sketches: np.ndarray, similarity: Similarity, least: float) -> list[np.ndarray]:
     """Links (member, smallest member) of the components of one bucket."""
-    out: list[tuple[int, int]] = []
+    out: list[np.ndarray] = []
     left = np.arange(len(nodes))
     while len(left) > 1:
         reached, left = [left[0]], left[1:]
@@ -65,7 +80,7 @@ def _forest(nodes: np.ndarray, sketches: np.ndarray, similarity: Similarity, lea
         group += reached
         if len(group) > 1:
             ids = np.unique(nodes[group])
-            out += [(int(i), int(ids[0])) for i in ids[1:]]
+            out.append(np.stack([ids[1:], np.repeat(ids[:1], len(ids) - 1)], 1))
     return out
 
 
@@ -75,17 +90,16 @@ def _links(similarity: Similarity, least: float) -> Callable[[Iterator[pa.Record
         first, sizes = np.concatenate([[0], cut]), np.diff(np.concatenate([[0], cut, [len(keys)]]))
         two = first[sizes == 2]
         near = similarity(sk[two], sk[two + 1]) >= least if len(two) else np.zeros(0, bool)
-        a, b = nodes[two[near]], nodes[two[near] + 1]
         more = [e for i, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist()) for e in _forest(nodes[i : i + n], sk[i : i + n], similarity, least)]
-        both = np.concatenate([np.stack([a, b], 1), np.array(more, np.int64).reshape(-1, 2)])
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        both = np.concatenate([np.stack([nodes[two[near]], nodes[two[near] + 1]], 1), *more])
+        return pa.RecordBatch.from_arrays([nodes_to(both[:, 0]), nodes_to(both[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys, nodes = batch.column(0).to_numpy(), nodes_of(batch.column(1))
             data = batch.column(2)
             buf, off = np.frombuffer(data.buffers()[2], np.uint8), np.frombuffer(data.buffers()[1], np.int32)[data.offset :]
             width = int(off[1] - off[0])
@@ -102,26 +116,28 @@ def _links(similarity: Similarity, least: float) -> Callable[[Iterator[pa.Record
     return run
 
 
-def sketched(rows: DataFrame) -> DataFrame:
-    """The sketches, written, with `rep`: the smallest node of those with equal content (`same` and sketch)."""
-    return written(rows.withColumn("rep", F.min("node").over(Window.partitionBy("same", "sketch"))), "sketches")
-
+def tiled(rows: DataFrame, sizes: DataFrame, member: str, hot: int) -> DataFrame:
+    """`rows` (bucket, member, ...) with each bucket that `sizes` (bucket, n) counts at more than `hot` members cut into
+    n / hot chunks, one new bucket for every two of them; each member goes to as many as there are chunks."""
+    large = written(sizes.where(F.col("n") > hot).select("bucket", F.ceil(F.col("n") / hot).cast("int").alias("chunks_")), "hot")  # written: its size decides how it is joined
+    own = F.pmod(F.xxhash64(member), F.col("chunks_")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks_") - 1), lambda i: F.xxhash64("bucket", F.least(own, i), F.greatest(own, i)))
+    cut = F.when(F.col("chunks_").isNull(), F.array("bucket")).otherwise(pairs)
+    return rows.join(large, "bucket", "left").withColumn("tile_", F.explode(cut)).withColumn("bucket", F.col("tile_")).drop("tile_", "chunks_")
 
-def linked(table: DataFrame, similarity: Similarity, least: float) -> DataFrame:
-    """(node, comp) of all nodes of a `sketched` table that are alike another, directly or through others."""
-    one = table.where("node = rep").dropDuplicates(["node", "same"])
-    rows = one.select(F.explode("bands").alias("bucket"), "node", "sketch")
-    links = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(similarity, least), "a long, b long")
-    return components(links.union(table.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))))
 
-
-def groups(rows: DataFrame, similarity: Similarity, least: float) -> DataFrame:
+def linked(table: DataFrame, similarity: Similarity, least: float, hot: int = HOT) -> DataFrame:
     """(node, comp) of all nodes that are alike another, linked directly or through others.
 
-    `rows`: node BIGINT, same BIGINT, bands ARRAY<BIGINT>, sketch BINARY (all of one width). Nodes of equal `same`
-    and sketch have equal content and are linked at once; only one of them goes into the buckets.
+    `table`, a written one: node (common.KEY), same BIGINT, bands ARRAY<BIGINT>, sketch BINARY (all of one width).
+    Nodes of equal `same` and sketch have equal content and are linked to the smallest of them, which alone goes into
+    the buckets.
     """
-    table = sketched(rows)
-    out = linked(table, similarity, least)
-    drop(table)
+    one = written(table.groupBy("same", "sketch").agg(F.min(F.struct("node", "bands")).alias("x")).select("same", "sketch", "x.node", "x.bands"), "distinct")
+    copies = table.join(one.select("same", "sketch", F.col("node").alias("rep")), ["same", "sketch"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    rows = one.select(F.explode("bands").alias("bucket"), "node", "sketch")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    links = tiled(rows, sizes, "node", hot).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(similarity, least), f"a {KEY}, b {KEY}")
+    out = components(links.union(copies))
+    drop(one)
     return out

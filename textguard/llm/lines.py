@@ -8,22 +8,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textguard.llm import kernel as K
-from textguard.llm.common import components, drop, fields, fresh, node, written
+from textguard.llm.buckets import tiled
+from textguard.llm.common import components, drop, fresh, node, written
 
 #: Shingles of 8 bytes, 6 bands of 4 minimum hashes, lines alike from a Jaccard similarity of 0.8.
 SHINGLE, BANDS, ROWS, LEAST = 8, 6, 4, 0.8
-#: Candidate lines whose names may be broadcast (8 bytes each); beyond it they are joined by shuffle.
-BROADCAST_NAMES = 2_000_000
+#: Lines of a bucket that one task compares; larger ones are cut into chunks of this size.
+HOT = 2048
+#: The sieve of candidate names has 2^SIEVE bits (16 MB), whatever the input. It lets some other lines through, more
+#: of them the more candidates there are; the join by name drops those.
+SIEVE = 27
 
 _NEWLINE = np.ones(256, bool)
 _NEWLINE[10] = False
 
 
 def _normal(text: str | Column) -> Column:
-    """Lower case, and blanks that fold to one space at the ends of nothing: line breaks stay."""
+    """Lower case; blanks at a line's ends are left to the kernel."""
     return F.lower(F.col(text) if isinstance(text, str) else text)
 
 
@@ -74,42 +77,43 @@ def _minhash(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int,
     return out
 
 
-def _parts(batches: Iterator[pa.RecordBatch], limit: int = K.CHUNK):
-    for batch in batches:
-        nodes = batch.column(0).to_numpy()
-        buf, offsets = K.text_bytes(batch.column(1))
-        for i, j in K.slices(offsets, limit):
-            part, off = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            yield nodes[i:j], part, _lines(part, off)
+def _parts(texts: pa.Array, limit: int = K.CHUNK):
+    buf, offsets = K.text_bytes(texts)
+    for i, j in K.slices(offsets, limit):
+        part, off = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        yield i, part, _lines(part, off)
 
 
 def _signed(size: int, n_bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part, (starts, ends, _, _, names) in _parts(batches, 1 << 18):  # the arrays of a pass stay in cache
-            once = np.sort(np.unique(names, return_index=True)[1])
-            once = once[ends[once] - starts[once] > size]  # a line of one shingle is like equal lines alone
-            keys = K.bands(_minhash(part, starts[once], ends[once], size, n_bands * rows), rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n_bands), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(names[once].view(np.int64)), lists], names=["line", "bands"])
+        for batch in batches:
+            for _, part, (starts, ends, _, _, names) in _parts(batch.column(0), 1 << 18):  # the arrays of a pass stay in cache
+                once = np.sort(np.unique(names, return_index=True)[1])
+                once = once[ends[once] - starts[once] > size]  # a line of one shingle is like equal lines alone
+                keys = K.bands(_minhash(part, starts[once], ends[once], size, n_bands * rows), rows)
+                yield pa.RecordBatch.from_arrays([pa.array(names[once].view(np.int64)), *(pa.array(np.ascontiguousarray(keys[:, k])) for k in range(n_bands))], names=["line", *(f"b{k}" for k in range(n_bands))])
 
     return run
 
 
-def _placed(wanted):
-    """(line, node, at, content) of all lines, with the contents of those wanted (a broadcast sorted array; None: all)."""
+def _placed(sieve):
+    """(line, node, own, at, content) of all lines, with the contents of those the sieve lets through, once a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        among = None if wanted is None else wanted.value
-        for nodes, part, (starts, ends, rows, number, names) in _parts(batches):
-            names = names.view(np.int64)
-            has = np.ones(len(names), bool)
-            if among is not None:
-                at = np.minimum(np.searchsorted(among, names), max(len(among) - 1, 0))
-                has = among[at] == names if len(among) else np.zeros(len(names), bool)
-            data, content = part.tobytes(), [None] * len(names)
-            for i in np.flatnonzero(has).tolist():
-                content[i] = data[starts[i] : ends[i]]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(nodes[rows]), pa.array(number.astype(np.int32)), pa.array(content, pa.binary())], names=["line", "node", "at", "content"])
+        bits = sieve.value
+        shift = np.uint64(64 - SIEVE)
+        for batch in batches:
+            nodes, owns = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, part, (starts, ends, rows, number, names) in _parts(batch.column(2)):
+                at = (names >> shift).astype(np.int64)
+                has = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                has = has[np.unique(names[has], return_index=True)[1]]
+                data, content = part.tobytes(), [None] * len(names)
+                for k in has.tolist():
+                    content[k] = data[starts[k] : ends[k]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names.view(np.int64)), pa.array(nodes[i + rows]), pa.array(owns[i + rows]), pa.array(number.astype(np.int32)), pa.array(content, pa.binary())], names=["line", "node", "own", "at", "content"]
+                )
 
     return run
 
@@ -121,32 +125,31 @@ def _verified(size: int, least: float):
         a: list[int] = []
         b: list[int] = []
         cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        first = np.concatenate([[0], cut]).tolist()
-        buf = np.frombuffer(b"".join(contents), np.uint8)
-        ends = np.cumsum([len(c) for c in contents])
-        starts = np.concatenate([[0], ends[:-1]])
-        for i, j in zip(first, [*cut.tolist(), len(keys)]):
+        sh = _shingles(np.frombuffer(b"".join(contents), np.uint8), size)
+        ends = np.cumsum([len(c) for c in contents]).tolist()
+        starts = [0, *ends[:-1]]
+        names = lines.tolist()
+        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)]):
             if j - i < 2:
                 continue
-            lo, hi = int(starts[i]), int(ends[j - 1])
-            sh = _shingles(buf[lo:hi], size)
-            sets = [np.unique(sh[x : y - size + 1]) for x, y in zip((starts[i:j] - lo).tolist(), (ends[i:j] - lo).tolist())]
-            sizes = np.array([len(s) for s in sets])
+            sets = [set(sh[x : y - size + 1].tolist()) for x, y in zip(starts[i:j], ends[i:j])]
             left = list(range(j - i))
             while len(left) > 1:  # as in buckets: each reached member meets only those not reached yet
                 reached, left, group = [left[0]], left[1:], []
                 while reached and left:
                     at = reached.pop()
                     group.append(at)
-                    pool = np.concatenate([sets[x] for x in left])
-                    here = np.searchsorted(sets[at], pool)
-                    here[here == sizes[at]] = 0
-                    same = np.add.reduceat(sets[at][here] == pool, np.concatenate([[0], np.cumsum(sizes[left])[:-1]]), dtype=np.int64)
-                    near = same >= least * (sizes[at] + sizes[left] - same) - 1e-9
-                    reached += [x for x, y in zip(left, near) if y]
-                    left = [x for x, y in zip(left, near) if not y]
+                    mine, apart = sets[at], []
+                    n = len(mine)
+                    for x in left:
+                        m = len(sets[x])
+                        if min(n, m) >= least * max(n, m) - 1e-9 and (same := len(mine & sets[x])) >= least * (n + m - same) - 1e-9:
+                            reached.append(x)
+                        else:
+                            apart.append(x)
+                    left = apart
                 group += reached
-                ids = sorted(int(lines[i + x]) for x in group)
+                ids = sorted(names[i + x] for x in group)
                 a += ids[1:]
                 b += ids[:1] * (len(ids) - 1)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -169,31 +172,43 @@ def _verified(size: int, least: float):
     return run
 
 
-def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+def _sieve(lines: DataFrame) -> np.ndarray:
+    """The bits of the names' first SIEVE bits, put together in Spark; its size is fixed."""
+    at = F.shiftrightunsigned("line", 64 - SIEVE) + 1
+    found = lines.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(1 << (SIEVE - 3), np.uint8)
+    for r in found:
+        out[(r["k"] - 1) * 4096 :][:4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def similar_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS, least: float = LEAST, hot: int = HOT
+) -> tuple[DataFrame, DataFrame]:
     """(node, comp): names of distinct lines that are like another, with the smallest name of their component; and
-    (line, node, at): the places of all lines, written."""
+    (line, node, own, at): the places of all lines, written, `own` being the hash of the document's text."""
     if not 1 <= size <= 8:
         raise ValueError("a shingle has 1 to 8 bytes")
     spark = docs.sparkSession
-    texts = docs.select(node(id_col, text_col).alias("node"), _normal(text_col).alias("text"))
-    signed = texts.mapInArrow(_signed(size, n_bands, rows), "line long, bands array<long>")
-    banded = signed.dropDuplicates(["line"]).select(F.explode("bands").alias("bucket"), "line")
-    by = Window.partitionBy("bucket")
-    members = [F.count("*").over(by).alias("n"), F.sum(F.xxhash64("line").bitwiseAND(F.lit(2**40 - 1))).over(by).alias("s"), F.expr("bit_xor(xxhash64(line, 7))").over(by).alias("x")]
-    met = banded.select("bucket", "line", *members).where("n > 1")
-    # buckets of the same lines in several bands are one
-    met = written(met.withColumn("one", F.min("bucket").over(Window.partitionBy("n", "s", "x"))).where("bucket = one").select("bucket", "line"), "candidates")
-    want = met.select("line").distinct()
-    wanted = None
-    if want.count() <= BROADCAST_NAMES:
-        wanted = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in want.collect()], np.int64)))
-    places = written(texts.mapInArrow(_placed(wanted), "line long, node long, at int, content binary"), "places")
+    texts = docs.select(node(id_col, text_col).alias("node"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own"), _normal(text_col).alias("text"))
+    bands = [f"b{k}" for k in range(n_bands)]
+    signed = texts.select("text").mapInArrow(_signed(size, n_bands, rows), "line long, " + ", ".join(f"{b} long" for b in bands))
+    once = written(signed.groupBy("line").agg(*[F.min(b).alias(b) for b in bands]), "signed")
+    banded = once.select("line", F.explode(F.array(*bands)).alias("bucket"))
+    members = [F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high"), F.sum(F.xxhash64("line").bitwiseAND(F.lit(2**40 - 1))).alias("s"), F.expr("bit_xor(xxhash64(line, 7))").alias("x")]
+    met = banded.groupBy("bucket").agg(*members).where("n > 1")
+    met = written(met.groupBy("n", "low", "high", "s", "x").agg(F.min("bucket").alias("bucket")), "buckets")  # buckets of the same lines in several bands are one
+    pairs = met.where("n = 2").select("bucket", F.explode(F.array("low", "high")).alias("line"))
+    more = written(met.where("n > 2").select("bucket", "n"), "buckets")
+    many = tiled(banded.join(more.select("bucket"), "bucket").select("bucket", "line"), more, "line", hot)
+    candidates = written(pairs.union(many), "candidates")
+    places = written(texts.mapInArrow(_placed(spark.sparkContext.broadcast(_sieve(candidates))), "line long, node long, own long, at int, content binary"), "places")
     contents = places.where("content is not null").select("line", "content").dropDuplicates(["line"])
-    rows_ = met.join(contents, "line").select("bucket", "line", "content")
-    links = rows_.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified(size, least), "a long, b long")
+    links = candidates.join(contents, "line").select("bucket", "line", "content").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified(size, least), "a long, b long")
     out = components(links)
-    drop(met)
-    return out, places.select("line", "node", "at")
+    for t in (once, met, more, candidates):
+        drop(t)
+    return out, places.select("line", "node", "own", "at")
 
 
 def _without(text_at: int, gone_at: int):
@@ -222,19 +237,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines end at \\n; they compare in lower case without blanks at their ends. Lines that are equal so, or whose sets
     of `size`-byte shingles have a Jaccard similarity of at least `least` (verified exactly; banding finds a pair
     at 0.8 with probability 0.96 and at 0.9 with 0.9999), belong to one component, directly or through others. The line of the smallest
-    (document key, line number) stays, all other lines of the component go.
+    (document number, text hash, line number) stays, all other lines of the component go. Equal lines are found by
+    64-bit names: among n distinct lines two different ones share a name with probability of about n * n / 2^65.
 
     A document of which no line is left goes; blank lines are neither compared nor removed. Null, empty and blank
     texts have no lines to compare: such rows stay as they are. Rows that repeat an id and text are one document:
-    each of them keeps the document's lines. Other columns stay, except `count_col`, which, if given, gets the new
-    length of the text. An empty table gives an empty one.
+    each of them keeps the document's lines. Rows of one id and several texts are several documents. Other columns
+    stay, except `count_col`, which, if `docs` has it, gets the new length of the text. An empty table gives an empty
+    one.
     """
     same, places = similar_lines(docs, id_col, text_col, **settings)
-    grouped = places.join(same.select(F.col("node").alias("line"), "comp"), "line", "left").withColumn("comp", F.coalesce("comp", "line"))
-    first = Window.partitionBy("comp")
-    lost = grouped.withColumn("keep", F.min(F.struct("node", "at")).over(first)).where("node <> keep.node or at <> keep.at")
-    key, gone = fresh(docs, "_key"), fresh(docs, "_gone")
-    per = lost.groupBy(F.col("node").alias(key)).agg(F.collect_list("at").alias(gone))
-    joined = docs.withColumn(key, node(id_col, text_col)).join(per, key, "left").select(*docs.columns, gone)
+    per = places.groupBy("line").agg(F.min(F.struct("node", "own", "at")).alias("first"), F.count("*").alias("n"))
+    named = per.join(same.withColumnRenamed("node", "line"), "line", "left").where("comp is not null or n > 1")
+    named = written(named.select("line", F.coalesce("comp", "line").alias("comp"), "first"), "named")
+    keep = named.groupBy("comp").agg(F.min("first").alias("keep"))
+    lost = places.join(named.select("line", "comp").join(keep, "comp").select("line", "keep"), "line").where(F.struct("node", "own", "at") != F.col("keep"))
+    id_, own, gone = fresh(docs, "_key"), fresh(docs, "_own"), fresh(docs, "_gone")
+    per = lost.groupBy(F.col("node").alias(id_), F.col("own").alias(own)).agg(F.collect_list("at").alias(gone))
+    marked = docs.withColumn(id_, node(id_col, text_col)).withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = marked.join(per, [id_, own], "left").select(*docs.columns, gone)
     out = joined.mapInArrow(_without(docs.columns.index(text_col), len(docs.columns)), docs.schema)
-    return out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType)) if count_col else out
+    return out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType)) if count_col in docs.columns else out
