@@ -9,6 +9,7 @@ compressed blocks, so a group sends a few rows and not one per word.
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,11 @@ from textguard.llm.common import node
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text into words before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of text in a group, and parts that the distinct words are cut into.
-GROUP_BYTES, PARTS = 16 << 20, 64
+#: Bytes of text in a group of documents, and for each part that the distinct words are cut into: there are as many
+#: parts as the input needs, so that a part's size doesn't grow with it.
+GROUP_BYTES, PART_BYTES = 16 << 20, 16 << 20
+#: Bytes from which a word is merged by a heap.
+LONG = 64
 
 _CODEC = pa.Codec("zstd", 3)
 
@@ -36,7 +40,7 @@ def ranks(path: str = VOCABULARY) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Ids of one word: merges the pair of lowest rank until none is left."""
+    """Ids of one word: merges the pair of lowest rank, the leftmost of equal ones, until none is left."""
 
     def __init__(self, pieces: dict[bytes, int]):
         self.pieces = pieces
@@ -45,6 +49,8 @@ class Encoder:
         pieces = self.pieces
         if (whole := pieces.get(word)) is not None:
             return [whole]
+        if len(word) >= LONG:
+            return self._long(word)
         parts = [word[i : i + 1] for i in range(len(word))]
         none = len(pieces) + 1
         pair = [pieces.get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
@@ -58,6 +64,32 @@ class Encoder:
                 pair[i - 1] = pieces.get(parts[i - 1] + parts[i], none)
         return [pieces[p] for p in parts]
 
+    def _long(self, word: bytes) -> list[int]:
+        """The same merges in n log n steps: pieces are a linked list by their first byte, pairs lie in a heap, and an
+        entry whose pieces have changed since is passed over."""
+        rank, n = self.pieces.get, len(word)
+        size, before = [1] * n + [0], [*range(-1, n - 1), n - 1]
+        heap = [(r, i, 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            j = i + size[i]
+            if not size[i] or j >= n or size[i] + size[j] != both:
+                continue
+            size[i], size[j] = both, 0
+            after = i + both
+            before[after] = i
+            if after < n and (r := rank(word[i : after + size[after]])) is not None:
+                heapq.heappush(heap, (r, i, both + size[after]))
+            p = before[i]
+            if p >= 0 and (r := rank(word[p:after])) is not None:
+                heapq.heappush(heap, (r, p, after - p))
+        out, i = [], 0
+        while i < n:
+            out.append(self.pieces[word[i : i + size[i]]])
+            i += size[i]
+        return out
+
 
 def _pack(x: np.ndarray | bytes) -> bytes:
     """The bytes, compressed, after their length."""
@@ -214,17 +246,21 @@ def _joined(docs: pa.Table, words: pa.Table) -> pa.Table:
     return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN, parts: int = PARTS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN, group_bytes: int = GROUP_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, hash, n_tokens, ids): the token ids of every document, and the xxhash64 of its text.
 
     Special tokens in a text are ordinary text. A null text counts as empty and has no tokens; repeated rows each
     give a row; doc_id is the key of textguard.llm.common.node; an empty table gives an empty one; other columns
-    aren't read. `vocabulary` is a rank file that every executor can open.
+    aren't read. `vocabulary` is a rank file that every executor can open. The ids don't depend on the sizes of groups
+    and parts.
     """
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // part_bytes))
     text = F.coalesce(F.col(text_col), F.lit(""))
     split = docs.select(node(id_col, text_col).alias("doc_id"), F.xxhash64(text).alias("hash"), F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0)).alias("words"))
     # both sides read one exchange by `key`, so the texts are split and grouped once
-    rows = split.mapInArrow(_grouped(parts, group_bytes), "key string, grp string, kind int, data binary").repartition("key")
+    rows = split.mapInArrow(_grouped(parts, group_bytes), "key string, grp string, kind int, data binary").repartition(parts, "key")
     words = rows.sortWithinPartitions("key").mapInArrow(_encoded(vocabulary), "key string, data binary")
     return rows.groupBy("key").cogroup(words.groupBy("key")).applyInArrow(_joined, "doc_id long, hash long, n_tokens long, ids array<int>")
 

@@ -14,8 +14,9 @@ from textguard.llm.common import fresh, node
 
 #: Test strings of 13 words; items of 6 to 12 words are test strings themselves; blocks of up to 12 bytes.
 WORDS, LEAST_WORDS, BLOCK = 13, 6, 12
-#: Bytes of benchmark text whose tables one search may broadcast; a larger benchmark is searched in parts.
-PART_BYTES = 16 << 20
+#: Bytes of benchmark text whose tables one search may broadcast, and a worker hold; a larger benchmark is searched in
+#: parts, with the same rows.
+PART_BYTES = 4 << 20
 
 
 def _normal(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

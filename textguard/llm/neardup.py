@@ -52,7 +52,8 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_bands
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS, bits: int = BITS, least: float = LEAST, hot: int = HOT
 ) -> DataFrame:
-    """(node, comp): keys of documents that are near another, with the smallest key of their group.
+    """(node, own, comp, comp_own): keys (number and text hash, common.key) of documents that are near another, with
+    the smallest key of their group.
 
     Words are runs of letters and digits in lower case; a document's set holds its word n-grams of `shingle`
     words (a shorter document gives one gram). The n_bands * rows minimum hashes give the bands that choose
@@ -67,7 +68,7 @@ def near_duplicates(
     table = _sketches(docs, id_col, text_col, shingle, n_bands, rows, bits)
     out = linked(table, odd_similarity(n_bands * rows, bits), least, hot)
     drop(table)
-    return out
+    return out.select("node.id", "node.own", F.col("comp.id").alias("comp"), F.col("comp.own").alias("comp_own")).withColumnRenamed("id", "node")
 
 
 def drop_near_duplicates(
@@ -97,4 +98,4 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **se
     """(doc_id, group_id, kept) for every document of a group of two or more: the numbers of common.node of the
     document and of the one that stays. Nulls, empty texts, repeated rows and empty tables: see near_duplicates."""
     found = near_duplicates(docs, id_col, text_col, **settings)
-    return found.select(F.col("node.id").alias("doc_id"), F.col("comp.id").alias("group_id"), (F.col("node") == F.col("comp")).alias("kept"))
+    return found.select(F.col("node").alias("doc_id"), F.col("comp").alias("group_id"), F.expr("node = comp and own = comp_own").alias("kept"))

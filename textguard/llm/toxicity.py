@@ -1,8 +1,9 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
 A character trigram model is counted over all documents. Tokens with symbols that may stand for letters, with doubled
-letters or with separators inside, and neighbours of at most PIECE characters, become a lattice (each symbol may stand for letters, separators and repeats may drop), Viterbi decoding
-under the model picks the most likely reading, and the readings join the plain words. Words are scored by weights
+letters or with separators inside, and neighbours of at most PIECE characters, become a lattice (each symbol may stand
+for letters, separators and repeats may drop), Viterbi decoding under the model picks the most likely reading, and the
+readings join the plain words. The channel's costs are set by hand. Words are scored by weights
 of whole words and word beginnings that labelled documents give, documents by a logistic model over their words.
 """
 
@@ -119,22 +120,25 @@ class Decoder:
 
     def __call__(self, token: str) -> str:
         model = self.model
-        best: dict[int, tuple[float, str]] = {END * SYMBOLS + END: (0.0, "")}
+        best: dict[int, tuple[float, tuple | None]] = {END * SYMBOLS + END: (0.0, None)}  # a reading is a chain of (rest, last symbol)
         for i in range(len(token)):
-            nxt: dict[int, tuple[float, str]] = {}
+            nxt: dict[int, tuple[float, tuple | None]] = {}
             arcs = [(x, lp, symbol(x) if x else -1) for x, lp in self.arcs(token, i)]
-            for state, (score, text) in best.items():
+            for state, (score, chain) in best.items():
                 for x, lp, s in arcs:
-                    if s < 0:
-                        to, new, out = state, score + lp, text
-                    elif s == END and state % SYMBOLS == END:
-                        to, new, out = state, score + lp, text
+                    if s < 0 or (s == END and state % SYMBOLS == END):
+                        to, new, out = state, score + lp, chain
                     else:
-                        to, new, out = state % SYMBOLS * SYMBOLS + s, score + lp + model[state * SYMBOLS + s], text + x
+                        to, new, out = state % SYMBOLS * SYMBOLS + s, score + lp + model[state * SYMBOLS + s], (chain, x)
                     if to not in nxt or new > nxt[to][0]:
                         nxt[to] = (new, out)
             best = nxt
-        return max((score + (0 if state % SYMBOLS == END else model[state * SYMBOLS + END]), text) for state, (score, text) in best.items())[1].strip()
+        final = [(score + (0 if state % SYMBOLS == END else model[state * SYMBOLS + END]), chain) for state, (score, chain) in best.items()]
+        chain, out = max(final, key=lambda x: x[0])[1], []
+        while chain:
+            chain, x = chain
+            out.append(x)
+        return "".join(reversed(out)).strip()
 
     def restored(self, token: str) -> list[bytes]:
         """The words of a token's reading that the token itself doesn't hold."""
@@ -367,22 +371,29 @@ def _scored(model, text_at: int):
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents with score_ (probability of being toxic), hits_ (words with evidence) and restored_ (those of
-    them that decoding restored). A null or empty text has no words and the score of a text without evidence; an
-    empty table gives an empty one. Columns of `docs` of these names must be renamed first."""
+    them that decoding restored). A null or empty text has no words and the score of a text without evidence; repeated
+    rows get the same score each; an empty table gives an empty one. Columns of `docs` of these names are replaced."""
+    docs = docs.drop("score_", "hits_", "restored_")
     held = docs.sparkSession.sparkContext.broadcast(model)
-    lower = docs.withColumn("lower_", F.lower(F.col(text_col)))
+    lower = docs.withColumn(fresh(docs, "lower_"), F.lower(F.col(text_col)))
     return lower.mapInArrow(_scored(held, len(docs.columns)), fields(docs, "score_ double, hits_ long, restored_ long"))
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **settings) -> DataFrame:
-    """(doc_id, score, hits, restored) of the documents that are toxic; doc_id is the key of common.node."""
+    """(doc_id, score, hits, restored) of the documents that are toxic; doc_id is the number of common.node.
+
+    Every row is judged by its own text alone: repeated rows are returned each, rows of one id and several texts each
+    by theirs. Null, empty and blank texts hold no evidence and aren't toxic, unless the labels say that texts
+    without evidence mostly are. Without labels of both classes nothing is toxic; empty tables give an empty one.
+    """
     own = docs.select(node(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
     scored = score(own, fit(docs, labels, id_col, text_col, **settings))
     return scored.where(F.col("score_") >= threshold).select("doc_id", F.round("score_", 6).alias("score"), F.col("hits_").alias("hits"), F.col("restored_").alias("restored"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **settings) -> DataFrame:
-    """The documents without the toxic ones; all columns and repeated rows stay as they are."""
+    """The documents without those that `toxic_documents` finds; all columns, rows with null and empty texts and
+    repeated rows stay as they are, whatever the columns are called. An empty table gives an empty one."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     model = fit(docs, labels, id_col, text_col, **settings)
     scored = score(docs.toDF(*names), model, names[docs.columns.index(text_col)])
