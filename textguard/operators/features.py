@@ -116,13 +116,16 @@ def injection_features(c: Column) -> dict[str, Column]:
 
 
 def context_features(c: Column) -> dict[str, Column]:
-    s = sentences(c)
-    n = F.size(s)
-    return {
-        "question_sentence_ratio": T.ratio(F.size(F.filter(s, lambda x: x.rlike(r"\?[ \t\n\r]*$"))), n),
-        "first_person_ratio": T.ratio(F.size(F.filter(s, lambda x: x.rlike(FIRST))), n),
-        "second_person_ratio": T.ratio(F.size(F.filter(s, lambda x: x.rlike(SECOND))), n),
-    }
+    def shares(s: Column) -> Column:
+        n = F.size(s)
+        return F.struct(
+            T.ratio(F.size(F.filter(s, lambda x: x.rlike(r"\?[ \t\n\r]*$"))), n).alias("question_sentence_ratio"),
+            T.ratio(F.size(F.filter(s, lambda x: x.rlike(FIRST))), n).alias("first_person_ratio"),
+            T.ratio(F.size(F.filter(s, lambda x: x.rlike(SECOND))), n).alias("second_person_ratio"),
+        )
+
+    one = T.let(sentences(c), shares)  # the text is split once for all three
+    return {k: one[k] for k in ("question_sentence_ratio", "first_person_ratio", "second_person_ratio")}
 
 
 def pattern_features(c: Column) -> dict[str, Column]:

@@ -1,15 +1,21 @@
 """Rule engine: a rule dimension, views of a text, hits, context suppression and severities.
 
-Patterns are written on lower-case text for both Java's and RE2's dialect. Each has anchors: literals of which a match
-holds one, so that a byte search decides first and the pattern runs on few rows.
+Patterns are written on lower-case text for the dialects of Java, RE2 and Python. Each has anchors: literals of which a
+match holds one, so that a search for literals decides first and the pattern runs on few texts. The rules run in one
+Arrow function for a whole batch: as 63 gated expressions they took ten seconds to plan and lowered a text once a rule.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from textguard.functions import text as T
 from textguard.operators import intake as I
@@ -124,27 +130,43 @@ def rule_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(r.name, r.pattern, list(r.techniques), r.severity, r.paranoia, r.suppressible) for r in RULES], "name string, pattern string, technique_ids array<string>, severity string, paranoia_level int, suppressible boolean")
 
 
-def matches(c: Column, r: Rule) -> Column:
-    """Whether the rule's pattern occurs in a lower-case text; the anchors are looked for first."""
-    gate = F.lit(False)
-    for a in r.anchors:
-        gate = gate | c.contains(a)
-    return gate & c.rlike(r.pattern)
+@cache
+def _compiled(names: tuple[str, ...]) -> tuple[list[str], list[tuple[str, frozenset[str], Callable]]]:
+    """All anchors, and per rule its name, anchors and search."""
+    rules = [r for r in RULES if r.name in names]
+    return sorted({a for r in rules for a in r.anchors}), [(r.name, frozenset(r.anchors), re.compile(r.pattern, re.ASCII).search) for r in rules]
+
+
+def find_hits(low: str, names: tuple[str, ...]) -> list[str]:
+    """Names of the rules whose pattern occurs in a lower-case text."""
+    anchors, rules = _compiled(names)
+    here = {a for a in anchors if a in low}
+    return [name for name, any_of, search in rules if not here.isdisjoint(any_of) and search(low)] if here else []
+
+
+def _searched(names: tuple[str, ...], many: bool):
+    @F.arrow_udf(ArrayType(StringType()))
+    def hits(texts: pa.Array) -> pa.Array:
+        out = []
+        for x in texts.to_pylist():
+            if many:
+                found = {h for t in x or () if t for h in find_hits(t, names)}
+                out.append([n for n in names if n in found])
+            else:
+                out.append(find_hits(x, names) if x else [])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return hits
 
 
 def hit_names(c: Column, rules: tuple[Rule, ...] | None = None) -> Column:
     """Names of the rules that hit a text, in the rules' order."""
-    low = F.lower(c)
-    return F.array_compact(F.array(*[F.when(matches(low, r), F.lit(r.name)) for r in (rules or active())]))
+    return _searched(tuple(r.name for r in (rules or active())), False)(F.lower(c))
 
 
 def any_hit(views: Column, rules: tuple[Rule, ...] | None = None) -> Column:
-    """Names of the rules that hit any of an array of texts."""
-
-    def hit(r: Rule):
-        return lambda v: matches(v, r)
-
-    return F.array_compact(F.array(*[F.when(F.exists(views, hit(r)), F.lit(r.name)) for r in (rules or active())]))
+    """Names of the rules that hit any of an array of lower-case texts."""
+    return _searched(tuple(r.name for r in (rules or active())), True)(views)
 
 
 def views(c: Column) -> Column:
@@ -185,6 +207,4 @@ def techniques(hits: Column) -> Column:
 
 def unsafe_patterns() -> list[str]:
     """Names of rules whose pattern nests an unbounded quantifier in another, which could backtrack without end."""
-    import re
-
     return [r.name for r in RULES if re.search(r"\([^()]*[+*][^()]*\)[+*]", r.pattern)]

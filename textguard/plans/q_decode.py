@@ -21,7 +21,7 @@ def _telling_sql(d: str) -> str:
     return f"case when length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 10 and {kinds_sql(d)} >= 2 and {kinds_sql('text')} < 2 then {d} end"
 
 
-_URL = "url_decode(replace(text, '+', ' '))"
+_URL = "try(url_decode(replace(text, '+', ' ')))"
 _UNLEET = f"translate(text, {q(T.LEET_FROM)}, {q(T.LEET_TO)})"
 _SOLID = r"length(regexp_replace(text, '[ \t\n\r\f\x0B]', '', 'g'))"
 #: The decoded text of each decoder, of a column `text`.
@@ -55,21 +55,21 @@ def d_kl(spark, sf_dir):
     return planted.documents(spark, sf_dir).select("doc_id", F.round(T.kl_english(F.col("text")), 6).alias("kl"))
 
 
-@query("d_morse", "select item_id, upper(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')) as payload from (select item_id, substr(text, 1, 200) as text from benchmark) where length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) >= 10")
+@query("d_morse", "select item_id, upper(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')) as payload from benchmark where length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) >= 10")
 def d_morse(spark, sf_dir):
-    """The beginnings of the benchmark's items, put into Morse code and read again."""
+    """The benchmark's items, put into Morse code and read again."""
     code = F.create_map(*[F.lit(x) for k, v in D.MORSE.items() for x in (v, k)])
-    plain = F.upper(F.regexp_replace(F.substring(T.text("text"), 1, 200), "[^A-Za-z0-9 ]", ""))
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", plain.alias("plain")).where(F.length(F.replace("plain", F.lit(" "), F.lit(""))) >= 10)
+    plain = F.upper(F.regexp_replace(T.text("text"), "[^A-Za-z0-9 ]", ""))
+    b = planted.table(spark, sf_dir, "benchmark").select("item_id", plain.alias("plain")).where(F.length(F.replace("plain", F.lit(" "), F.lit(""))) >= 10)
     coded = F.array_join(F.transform(F.split("plain", " "), lambda w: F.array_join(F.transform(T.chars(w), lambda x: F.element_at(code, x)), " ")), " / ")
     return b.select("item_id", D.morse_text(coded).alias("payload"))
 
 
-@query("d_numeric", "select item_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 300) as payload from benchmark where length(regexp_replace(text, '[^ -~]', '', 'g')) >= 5")
+@query("d_numeric", "select item_id, regexp_replace(text, '[^ -~]', '', 'g') as payload from benchmark where length(regexp_replace(text, '[^ -~]', '', 'g')) >= 5")
 def d_numeric(spark, sf_dir):
     """The ASCII of the benchmark's items, written in binary groups and read again."""
-    plain = F.substring(F.regexp_replace(T.text("text"), "[^ -~]", ""), 1, 300)
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", plain.alias("plain")).where(F.length("plain") >= 5)
+    plain = F.regexp_replace(T.text("text"), "[^ -~]", "")
+    b = planted.table(spark, sf_dir, "benchmark").select("item_id", plain.alias("plain")).where(F.length("plain") >= 5)
     coded = F.array_join(F.transform(T.chars(F.col("plain")), lambda x: F.lpad(F.bin(F.ascii(x)), 8, "0")), " ")
     return b.select("item_id", D.binary_text(coded).alias("payload"))
 

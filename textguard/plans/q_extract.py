@@ -18,7 +18,7 @@ MARKED = "marked as (select doc_id, coalesce(text, '') || [" + ", ".join(q(t) fo
 
 
 def marked(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = planted.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.concat(T.text("text"), F.element_at(F.array(*map(F.lit, _TAIL)), (F.pmod("doc_id", F.lit(len(_TAIL))) + 1).cast("int"))).alias("text"))
 
 

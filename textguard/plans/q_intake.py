@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions import text as T
 from textguard.operators import intake as I
+from textguard.plans import planted
 from textguard.plans.catalog import query
 from textguard.plans.q_features import q
 
@@ -21,7 +22,7 @@ DISGUISED = f"""disguised as (select doc_id, case doc_id % 6 when 0 then replace
 
 
 def disguised(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.text("text").alias("text"))
+    d = planted.table(spark, sf_dir, "documents").select("doc_id", T.text("text").alias("text"))
     k, c = F.pmod("doc_id", F.lit(6)), F.col("text")
     return d.withColumn(
         "text",
@@ -39,7 +40,7 @@ SIZED = "sized as (select doc_id, case doc_id % 7 when 0 then repeat(text, 40) w
 
 
 def sized(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    d = planted.table(spark, sf_dir, "documents").select("doc_id", "text")
     k = F.pmod("doc_id", F.lit(7))
     return d.withColumn("text", F.when(k == 0, F.repeat("text", F.lit(40))).when(k == 1, "  \n").when(k == 2, F.lit(None).cast("string")).otherwise(F.col("text")))
 
@@ -107,7 +108,7 @@ ASKED = "asked as (select doc_id, case doc_id % 3 when 0 then 'What does this sa
 
 @query("i_whitelist", f"with {ASKED}, a as (select *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from asked) select doc_id, case {' '.join(f'when {c} then {q(n)}' for n, c in _WHITE)} else '' end as reason from a")
 def i_whitelist(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.text("text").alias("text"))
+    d = planted.table(spark, sf_dir, "documents").select("doc_id", T.text("text").alias("text"))
     k = F.pmod("doc_id", F.lit(3))
     d = d.withColumn("text", F.when(k == 0, F.concat(F.lit("What does this say about rivers? "), "text")).when(k == 1, F.concat("text", F.lit("?"))).otherwise(F.col("text")))
     return d.select("doc_id", F.coalesce(I.whitelist_reason(F.col("text")), F.lit("")).alias("reason"))
@@ -119,7 +120,7 @@ _BYTES = "bytes as (select doc_id, (case doc_id % 40 " + " ".join(f"when {i} the
 
 
 def payloads(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    d = planted.table(spark, sf_dir, "documents").select("doc_id", "text")
     k = F.pmod("doc_id", F.lit(40))
     sig = F.lit("")
     for i, p in enumerate([*_SIG, "52494646000000005741564500", "000000186674797069736f6d"]):
@@ -158,7 +159,7 @@ def i_mime_mismatch(spark, sf_dir):
   len(regexp_extract_all(html, '<[a-zA-Z]'))::bigint as open_tags from pages""")
 def i_html_flags(spark, sf_dir):
     low = F.lower("html")
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+    return planted.table(spark, sf_dir, "pages").select(
         "page_id",
         F.col("html").contains("<!--").alias("has_comment"),
         low.rlike("<!--[^>]*(?:ignore|instruction|system|prompt|override)").alias("suspicious_comment"),
@@ -172,12 +173,12 @@ def i_html_flags(spark, sf_dir):
 def i_html_text(spark, sf_dir):
     from textguard.sources.markup import visible_text
 
-    return visible_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "html")
+    return visible_text(planted.table(spark, sf_dir, "pages").select("page_id", "html"), "html")
 
 
 @query("i_html_depth")
 def i_html_depth(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", I.html_depth(T.text("html")).alias("depth"))
+    return planted.table(spark, sf_dir, "pages").select("page_id", I.html_depth(T.text("html")).alias("depth"))
 
 
 @query("i_nfkc")
@@ -191,11 +192,11 @@ def i_nfkc(spark, sf_dir):
 select page_id, case when not starts_with(lower(url), 'https://') then 'scheme' when host = '' then 'no host'
   when regexp_matches(host, '^(?:0\.0\.0\.0|127\.[0-9.]+|10\.[0-9.]+|172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9.]+|192\.168\.[0-9.]+|169\.254\.[0-9.]+|localhost)$') then 'private address' else 'allowed' end as verdict from h""")
 def i_url_policy(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", I.url_verdict(F.col("url")).alias("verdict"))
+    return planted.table(spark, sf_dir, "pages").select("page_id", I.url_verdict(F.col("url")).alias("verdict"))
 
 
 @query("i_dehyphenate", r"""with d as (select doc_id, replace(coalesce(text, ''), 'tion', '-ti-on') as t from documents)
 select doc_id, md5(regexp_replace(t, '([A-Za-z])-([A-Za-z])', '\1\2', 'g')) as joined, len(regexp_extract_all(t, '[A-Za-z]-[A-Za-z]'))::bigint as joints from d""")
 def i_dehyphenate(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.replace(T.text("text"), F.lit("tion"), F.lit("-ti-on")).alias("t"))
+    d = planted.table(spark, sf_dir, "documents").select("doc_id", F.replace(T.text("text"), F.lit("tion"), F.lit("-ti-on")).alias("t"))
     return d.select("doc_id", F.md5(I.dehyphenated(F.col("t"))).alias("joined"), T.count(F.col("t"), "[A-Za-z]-[A-Za-z]").alias("joints"))

@@ -64,23 +64,3 @@ def s_chunks(spark, sf_dir):
 def s_technique_tags(spark, sf_dir):
     t = scanned(spark, sf_dir).select(F.explode_outer("techniques").alias("technique"), "label").where("technique is not null")
     return t.groupBy("technique").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "malicious").alias("malicious"))
-
-
-@query("s_ensemble", "select doc_id, round(0.6::double * p_a + 0.4::double * p_b, 6) as risk, 0.6::double * p_a + 0.4::double * p_b >= 0.55 as malicious from (select doc_id, (doc_id % 101) / 100.0::double as p_a, (doc_id % 53) / 52.0::double as p_b from documents)")
-def s_ensemble(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.pmod("doc_id", F.lit(101)) / 100).alias("p_a"), (F.pmod("doc_id", F.lit(53)) / 52).alias("p_b"))
-    risk = 0.6 * F.col("p_a") + 0.4 * F.col("p_b")
-    return d.select("doc_id", F.round(risk, 6).alias("risk"), (risk >= 0.55).alias("malicious"))
-
-
-@query("s_judge_vote", """with v as (select conv_id, case when turn % 3 = 0 then 'SAFE' when turn % 5 = 4 then 'UNKNOWN' else 'MALICIOUS' end as verdict, (turn % 4 + 6) / 10.0::double as conf from conversations),
-  c as (select conv_id, count(*) filter (verdict <> 'UNKNOWN') as valid, count(*) as n, count(*) filter (verdict = 'SAFE') as safe, count(*) filter (verdict = 'MALICIOUS') as bad, avg(conf) filter (verdict <> 'UNKNOWN') as mean from v group by conv_id)
-select conv_id, case when valid < n // 2 + 1 then 'UNKNOWN' when safe > bad then 'SAFE' else 'MALICIOUS' end as verdict, case when valid < n // 2 + 1 then 0.0::double else round((greatest(safe, bad) / valid::double + mean) / 2, 6) end as confidence from c""")
-def s_judge_vote(spark, sf_dir):
-    """Majority of the judge's calls of a conversation; a tie is malicious, too few valid calls decide nothing."""
-    v = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.when(F.col("turn") % 3 == 0, "SAFE").when(F.col("turn") % 5 == 4, "UNKNOWN").otherwise("MALICIOUS").alias("verdict"), ((F.col("turn") % 4 + 6) / 10).alias("conf"))
-    known = F.col("verdict") != "UNKNOWN"
-    c = v.groupBy("conv_id").agg(F.count_if(known).alias("valid"), F.count("*").alias("n"), F.count_if(F.col("verdict") == "SAFE").alias("safe"), F.count_if(F.col("verdict") == "MALICIOUS").alias("bad"), F.avg(F.when(known, F.col("conf"))).alias("mean"))
-    few = F.col("valid") < F.floor(F.col("n") / 2) + 1
-    share = F.round((F.greatest("safe", "bad") / F.when(F.col("valid") > 0, F.col("valid")) + F.col("mean")) / 2, 6)
-    return c.select("conv_id", F.when(few, "UNKNOWN").when(F.col("safe") > F.col("bad"), "SAFE").otherwise("MALICIOUS").alias("verdict"), F.when(few, 0.0).otherwise(share).alias("confidence"))

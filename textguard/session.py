@@ -6,7 +6,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
 
@@ -29,3 +29,11 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(name)
         _SENT.add(sc.applicationId)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small inputs over all cores: a file of one row group comes to one task, however many the scan has. Inputs of
+    more than a split a core stay as they are read."""
+    sc = df.sparkSession.sparkContext
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(sc.defaultParallelism) if size < sc.defaultParallelism << 27 else df
