@@ -63,12 +63,13 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, WS + "+", " "))
 
 
+def entropy_of(t: str) -> float:
+    n = len(t)
+    return sum(-k / n * math.log2(k / n) for k in Counter(t).values()) if n else 0.0
+
+
 def _entropies(texts: pa.Array) -> pa.Array:
-    out = []
-    for t in texts.to_pylist():
-        n = len(t or "")
-        out.append(sum(-k / n * math.log2(k / n) for k in Counter(t).values()) if n else 0.0)
-    return pa.array(out, pa.float64())
+    return pa.array([entropy_of(t or "") for t in texts.to_pylist()], pa.float64())
 
 
 def entropy(c: Column) -> Column:
@@ -76,16 +77,24 @@ def entropy(c: Column) -> Column:
     return F.arrow_udf(_entropies, DoubleType())(c)
 
 
+def kl_of(t: str) -> float:
+    """Divergence of the letters a-z of a lower-case text from English, 0 for fewer than five letters."""
+    c = Counter(t)
+    counts = [c[x] for x in "abcdefghijklmnopqrstuvwxyz"]
+    n, share = sum(counts), sum(ENGLISH)
+    if n < 5:
+        return 0.0
+    return max(0.0, sum((k + 0.5) / (n + 13) * math.log2((k + 0.5) / (n + 13) / (f / share)) for k, f in zip(counts, ENGLISH)))
+
+
+def _divergences(texts: pa.Array) -> pa.Array:
+    return pa.array([kl_of(t or "") for t in texts.to_pylist()], pa.float64())
+
+
 def kl_english(c: Column) -> Column:
-    """Kullback-Leibler divergence of the letters a-z from English, with half a count added to each letter."""
-    low = F.lower(c)
-    n = F.length(F.regexp_replace(low, "[^a-z]", "")).cast("double")
-    total = F.lit(0.0)
-    share = sum(ENGLISH)
-    for k, f in enumerate(ENGLISH):
-        p = (occurrences(low, chr(97 + k)) + 0.5) / (n + 13.0)
-        total = total + p * F.log2(p / F.lit(f / share))
-    return F.when(n < 5, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), total))
+    """Kullback-Leibler divergence of the letters a-z from English, with half a count added to each letter; one pass over
+    a text in an Arrow batch."""
+    return F.arrow_udf(_divergences, DoubleType())(F.lower(c))
 
 
 def casing_transitions(c: Column) -> Column:
@@ -136,9 +145,10 @@ def from_hex(c: Column) -> Column:
 
 
 def from_percent(c: Column) -> Column:
-    """Percent escapes and + resolved; a % that starts no escape stays."""
+    """Percent escapes and + resolved; a % that starts no escape stays. Null if the bytes aren't UTF-8."""
     fixed = F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.try_url_decode(fixed)
+    broken = F.lit("\ufffd")
+    return let(F.try_url_decode(fixed), lambda d: F.when(~F.contains(d, broken) | F.contains(c, broken), d))
 
 
 def redact(c: Column) -> Column:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
+import re
+from urllib.parse import unquote_to_bytes
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from textguard.functions import text as T
 
@@ -98,3 +105,211 @@ def unwrap(c: Column, depth: int = DEPTH) -> Column:
 
     start = F.struct(empty.alias("chain"), c.alias("text"), F.array(c).alias("seen"))
     return F.aggregate(F.array(*[F.lit(i) for i in range(depth)]), start, step, lambda a: F.struct(a.chain.alias("chain"), a.text.alias("text")))
+
+
+LABEL = r"(?i)(?:rot[ -]?13|caesar)[ ]*[:=][ ]*"
+DOTS, STROKES = "·•․∙", "–—−‐‑"
+MODE = r"(?i)(?:chmod|mode|permissions?)[ ]*[:=]?[ ]*[0-7]{3,4}"
+
+
+def labelled_rot13(c: Column) -> Column:
+    """The rest of a text after a label that names the cipher, decoded; else as `rot13_text`."""
+    rest = F.regexp_extract(c, "(?s)" + LABEL + "(.+)", 1)
+    return F.coalesce(F.when(rest != "", T.rot13(rest)), rot13_text(c))
+
+
+def reversed_words_text(c: Column) -> Column:
+    return _telling(c, T.reverse_words(c))
+
+
+def morse_plain(c: Column) -> Column:
+    """Look-alike dots and dashes as . and -, without a label before them."""
+    return F.regexp_replace(F.translate(c, DOTS + STROKES, "." * len(DOTS) + "-" * len(STROKES)), "(?i)^[^a-z]*morse(?: code)?[ ]*[:=][ ]*", "")
+
+
+def morse_density(c: Column) -> Column:
+    """Share of Morse signs among the characters that aren't blank."""
+    n = F.length(F.regexp_replace(c, T.WS, ""))
+    return F.when(n > 0, F.length(F.regexp_replace(c, "[^./|-]", "")) / n).otherwise(0.0)
+
+
+def morse(c: Column) -> Column:
+    """struct(text, confidence) of a text of Morse signs, labelled or at least 0.8 of the signs; null for rules, addresses,
+    dots and for fewer than three letters."""
+    table = F.create_map(*[F.lit(x) for kv in MORSE.items() for x in kv])
+    label = c.rlike("(?i)^[^a-z]*morse(?: code)?[ ]*[:=]")
+
+    def of(s: Column) -> Column:
+        lines = F.array_join(F.filter(F.split(s, "\n"), lambda x: ~x.rlike(r"^[ ]*(?:[-=_]{3,}|\.{3,}|[0-9]+(?:\.[0-9]+){3})[ ]*$")), " / ")
+        codes = F.split(lines, r" */ *|   +")
+        read = F.array_join(F.transform(codes, lambda w: F.array_join(F.transform(F.split(F.trim(w), "[ |]+"), lambda x: F.coalesce(F.try_element_at(table, x), F.lit(""))), "")), " ")
+        asked = F.size(F.filter(F.split(lines, "[ |/]+"), lambda x: x != ""))
+        known = F.length(F.replace(read, F.lit(" "), F.lit("")))
+        density = morse_density(s)
+        sure = F.when(label, F.greatest(F.lit(0.85), density)).otherwise(density) * known / asked
+        enough = (label | (density >= 0.8)) & (F.length(F.regexp_replace(s, T.WS, "")) >= 10) & (known >= 3)
+        return F.when(enough, F.struct(F.trim(read).alias("text"), F.round(sure, 4).alias("confidence")))
+
+    return T.let(morse_plain(c), of)
+
+
+def _numbers(c: Column, digits: str, base: int, low: int, high: int) -> Column:
+    """The text of groups of digits that are characters' numbers, null if a group isn't one."""
+    groups = F.filter(F.split(F.regexp_replace(c, "(?i)^[^0-9]*(?:ascii|decimal|octal|numbers?)[ ]*[:=][ ]*", ""), r"[ ,;|\n\t]+"), lambda g: g != "")
+    return T.let(groups, lambda g: F.when((F.size(g) >= 5) & F.forall(g, lambda x: x.rlike(f"^{digits}$") & F.conv(x, base, 10).cast("int").between(low, high)), F.array_join(F.transform(g, lambda x: F.chr(F.conv(x, base, 10).cast("long"))), "")))
+
+
+def numeric(c: Column) -> Column:
+    """struct(kind, text): binary groups first, else octal or decimal ones, whichever reads with more letters, octal on a
+    tie. Texts that are mostly letters, file modes, addresses and versions aren't numbers."""
+    off = (F.length(F.regexp_replace(c, "[^A-Za-z]", "")) > 0.5 * F.length(c)) | c.rlike(MODE) | c.rlike(r"[0-9]+\.[0-9]+\.[0-9]+")
+    letters = lambda t: F.length(F.regexp_replace(t, "[^A-Za-z ]", "")) / F.length(t)
+
+    def of(s: Column) -> Column:
+        octal, decimal = s.o, s.d
+        better = F.coalesce(letters(octal) >= letters(decimal), octal.isNotNull())
+        kind = F.when(s.b.isNotNull(), "binary").when(octal.isNotNull() & better, "octal").when(decimal.isNotNull(), "decimal")
+        text = F.coalesce(s.b, F.when(better, octal), decimal)
+        return F.when(kind.isNotNull() & (F.length(F.regexp_replace(text, r"[^\x20-\x7E]", "")) >= 0.7 * F.length(text)), F.struct(kind.alias("kind"), text.alias("text")))
+
+    each = F.struct(binary_text(c).alias("b"), _numbers(c, "[0-7]{2,3}", 8, 9, 126).alias("o"), _numbers(c, "[0-9]{2,3}", 10, 9, 126).alias("d"))
+    return F.when(~off, T.let(each, of))
+
+
+#: Decodes of a text that a scan follows, and how long a layer may be by the original's length.
+BUDGET, GROWTH = 8, 10
+
+_LETTER = re.compile("[^A-Za-z]")
+_GAP = re.compile(r"[ \t\n\r\f\x0B]+")
+_KEYWORDS, _SYMBOLS = re.compile(KEYWORDS), re.compile(LEET_SYMBOL)
+_WHOLE_64, _BLOCK_64 = re.compile(r"[A-Za-z0-9+/]+={0,2}\Z"), re.compile("[A-Za-z0-9+/]{20,}={0,2}")
+_WHOLE_HEX, _BLOCK_HEX = re.compile(r"(?:[0-9a-fA-F]{2})+\Z"), re.compile("[0-9a-fA-F]{16,}")
+_ESCAPE, _LABEL = re.compile("%[0-9A-Fa-f]{2}"), re.compile("(?s)" + LABEL + "(.+)")
+_ROT, _LEET = str.maketrans(T.ROT_FROM, T.ROT_TO), str.maketrans(T.LEET_FROM, T.LEET_TO)
+
+
+def _utf8(data: bytes) -> str | None:
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return None
+
+
+def _from_base64(s: str) -> str | None:
+    bare = s.rstrip("=")
+    try:
+        return _utf8(base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True))
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _readable(t: str | None) -> bool:
+    n = sum(" " <= x <= "~" or x in "\n\r\t" for x in t) if t else 0
+    return n >= 3 and n > len(t or "") * 0.7
+
+
+def _kinds(t: str) -> int:
+    return len(set(_KEYWORDS.findall(t.lower())))
+
+
+def morse_of(t: str) -> str | None:
+    """As `morse`, the text alone."""
+    s = t.translate(str.maketrans(DOTS + STROKES, "." * len(DOTS) + "-" * len(STROKES)))
+    bare = re.sub("(?i)^[^a-z]*morse(?: code)?[ ]*[:=][ ]*", "", s)
+    solid = _GAP.sub("", bare)
+    signs = sum(x in "./|-" for x in solid)
+    if len(solid) < 10 or (bare == s and signs < 0.8 * len(solid)):
+        return None
+    kept = " / ".join(x for x in bare.split("\n") if not re.match(r"[ ]*(?:[-=_]{3,}|\.{3,}|[0-9]+(?:\.[0-9]+){3})[ ]*\Z", x))
+    words = ["".join(MORSE.get(x, "") for x in re.split("[ |]+", w.strip())) for w in re.split(r" */ *|   +", kept)]
+    return " ".join(words).strip() if sum(map(len, words)) >= 3 else None
+
+
+def numeric_of(t: str) -> tuple[str, str] | None:
+    """As `numeric`: (kind, text)."""
+    if len(_LETTER.sub("", t)) > 0.5 * len(t) or re.search(MODE, t) or re.search(r"[0-9]+\.[0-9]+\.[0-9]+", t):
+        return None
+    found: dict[str, str] = {}
+    if re.match(r"(?:[01]{7,8}[ ,|\n]+){4,}[01]{7,8}\Z", t):
+        found["binary"] = "".join(chr(int(g, 2)) for g in re.split("[ ,|\n]+", t))
+    groups = [g for g in re.split(r"[ ,;|\n\t]+", re.sub("(?i)^[^0-9]*(?:ascii|decimal|octal|numbers?)[ ]*[:=][ ]*", "", t)) if g]
+    for kind, digits, base in (("octal", "[0-7]{2,3}", 8), ("decimal", "[0-9]{2,3}", 10)):
+        if len(groups) >= 5 and all(re.fullmatch(digits, g) and 9 <= int(g, base) <= 126 for g in groups):
+            found[kind] = "".join(chr(int(g, base)) for g in groups)
+    share = {k: sum(x.isascii() and (x.isalpha() or x == " ") for x in v) / len(v) for k, v in found.items()}
+    kind = "binary" if "binary" in found else max(sorted(found, reverse=True), key=lambda k: share[k], default=None)
+    if kind is None or sum(" " <= x <= "~" for x in found[kind]) < 0.7 * len(found[kind]):
+        return None
+    return kind, found[kind]
+
+
+def pairs_of(t: str) -> list[tuple[str, str]]:
+    """(encoding, text) of all that one layer of a text decodes to, in the order of the decoders. Blocks inside a text
+    count where the whole isn't encoded."""
+    out: list[tuple[str, str | None]] = []
+    bare = _GAP.sub("", t)
+    whole = _from_base64(bare) if len(bare) >= 16 and len(bare) % 4 == 0 and _WHOLE_64.match(bare) else None
+    out += [("base64", whole)] if whole else [("base64", x) for x in map(_from_base64, _BLOCK_64.findall(t)) if _readable(x)]
+    whole = _utf8(bytes.fromhex(bare)) if len(bare) >= 8 and _WHOLE_HEX.match(bare) else None
+    out += [("hex", whole)] if whole else [("hex", x) for x in (_utf8(bytes.fromhex(b)) for b in _BLOCK_HEX.findall(t) if len(b) % 2 == 0) if _readable(x)]
+    if _ESCAPE.search(t):
+        decoded = _utf8(unquote_to_bytes(t.replace("+", " ")))
+        out.append(("url_encoded", decoded if decoded != t else None))
+    if label := _LABEL.search(t):
+        out.append(("rot13", label[1].translate(_ROT)))
+    if len(_LETTER.sub("", t)) >= 10 and _kinds(t) < 2:
+        if not label:
+            out.append(("rot13", r if _kinds(r := t.translate(_ROT)) >= 2 else None))
+        out.append(("full_reverse", r if _kinds(r := t[::-1]) >= 2 else None))
+        out.append(("word_reverse", r if _kinds(r := " ".join(w[::-1] for w in t.split(" "))) >= 2 else None))
+        if len(bare) >= 10 and len(_SYMBOLS.findall(t)) >= 0.1 * len(bare):
+            out.append(("leetspeak", r if _kinds(r := t.translate(_LEET)) >= 2 else None))
+    out.append(("morse", morse_of(t)))
+    if number := numeric_of(t):
+        out.append(number)
+    return [(e, x) for e, x in out if x]
+
+
+def tree_of(t: str, depth: int = DEPTH, budget: int = BUDGET) -> list[tuple[str, str]]:
+    """(encodings from the outermost, text) of the decoded views of a text, depth first, at most `budget`.
+
+    Each view's own layers are followed to `depth`. A text that was followed before isn't again; a layer of fewer than
+    two characters, or of more than GROWTH times the original's length, drops.
+    """
+    found: list[tuple[str, str]] = []
+    seen: set[str] = set()
+
+    def follow(text: str, above: str, left: int) -> None:
+        if not left or text in seen or len(found) >= budget:
+            return
+        seen.add(text)
+        for enc, inner in pairs_of(text):
+            if len(found) >= budget:
+                return
+            if len(inner) <= GROWTH * max(len(t), 1) and len(inner.strip(" ")) >= 2:
+                found.append((above + enc, inner))
+                follow(inner, above + enc + ",", left - 1)
+
+    follow(t, "", depth)
+    return found
+
+
+def _trees(texts: pa.Array) -> pa.Array:
+    return pa.array([[{"enc": e, "text": x} for e, x in tree_of(t)] if t else [] for t in texts.to_pylist()], pa.list_(pa.struct([("enc", pa.string()), ("text", pa.string())])))
+
+
+_TREE = Ty.ArrayType(Ty.StructType().add("enc", Ty.StringType()).add("text", Ty.StringType()))
+
+
+def tree(c: Column) -> Column:
+    """ARRAY<STRUCT<enc, text>> of `tree_of`. The search branches, so it runs in an Arrow batch and not as an expression."""
+    return F.arrow_udf(_trees, _TREE)(c)
+
+
+def layer_flags(c: Column, views: Column) -> Column:
+    """Flags of a text: what its characters show, and the encodings of its `tree`."""
+    from textguard.operators import signals as S
+
+    own = F.array(F.when(S.high_entropy(c), F.lit("high_entropy")), F.when(S.punctuation_flood(c), F.lit("punctuation_flood")), F.when(S.weird_casing(c), F.lit("weird_casing")))
+    last = F.transform(views, lambda n: F.element_at(F.split(n.enc, ","), -1))
+    return F.concat(F.array_compact(own), F.array_distinct(F.transform(last, lambda e: F.when(e.isin("full_reverse", "word_reverse"), "reversed_text").otherwise(e))))

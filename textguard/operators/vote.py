@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textguard.functions import text as T
 from textguard.operators import decode as D
 from textguard.operators import features as S
+from textguard.operators import normalise as N
 from textguard.operators import rules as R
 
 THRESHOLD = 0.55
@@ -32,6 +33,7 @@ def structure(f: dict[str, Column]) -> Column:
     return (
         f["imperative_start"] * 0.05 + f["role_assignment"] * 0.1 + f["instruction_boundary"] * 0.1 + f["negation_command"] * 0.08 + when(f["many_shot_count"] >= 5, 0.1)
         + when(f["delimiter_density"] > 2, 0.06) + when(f["template_marker_count"] >= 1, 0.05) + when(f["language_mixing_score"] >= 2, 0.04)
+        + when(f["quote_depth"] >= 3, 0.05) + when(f["text_entropy"] > 5, 0.03) + when(f["repetition_score"] > 0.3, 0.05)
     )
 
 
@@ -56,19 +58,23 @@ def verdict(p: Column, rule: Column, severities: Column, n_flags: Column, struct
 
 
 def scan(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, p_col: str | None = None) -> DataFrame:
-    """Adds p, hits, encoding, payload_hits, risk, label and techniques to texts, one narrow plan without a shuffle.
+    """Adds p, hits, encoding, payload_hits, flags, risk, label and techniques to texts, one narrow plan without a shuffle.
 
-    A null text counts as empty, which is safe. `p_col` names a probability column; without it, `prior` gives it.
+    The text is repaired and cleaned first (operators.normalise). Rules look at the raw and the cleaned text in all
+    their readings, and harmless frames drop hits; encodings are unwrapped to four layers, and every layer's text is
+    looked at. A null text counts as empty, which is safe. `p_col` names a probability column; without it, `prior`
+    gives it.
     """
-    c = T.text(text_col)
-    d = df.withColumn("peeled_", D.peel(c)).withColumn("hits", R.hit_names(c))
-    inner = F.coalesce(F.col("peeled_.text"), F.lit(""))
-    d = d.withColumn("payload_hits", F.when(F.col("peeled_").isNotNull(), R.hit_names(inner)).otherwise(F.array().cast("array<string>")))
-    f = S.length_features(c) | S.injection_features(c) | S.pattern_features(c) | {"language_mixing_score": S.script_mixing(c)}
-    d = d.withColumn("p", F.col(p_col) if p_col else prior(f)).withColumn("struct_", structure(f)).withColumn("encoding", F.coalesce("peeled_.enc", F.lit("")))
+    d = df.withColumn("raw_", T.text(text_col))
+    d = d.withColumn("clean_", N.cleaned(N.repair(F.col("raw_")).text))
+    c = F.col("clean_")
+    d = d.withColumn("views_", F.array_union(R.views(c), R.views(F.col("raw_")))).withColumn("tree_", D.tree(c))
+    d = d.withColumn("hits", R.suppress(R.any_hit(F.col("views_")), c)).withColumn("payload_hits", R.any_hit(F.transform("tree_.text", lambda t: F.lower(t))))
+    d = d.withColumn("flags", D.layer_flags(c, F.col("tree_")))
+    f = S.length_features(c) | S.injection_features(c) | S.pattern_features(c) | {"language_mixing_score": S.script_mixing(c), "quote_depth": S.quote_depth(c), "text_entropy": T.entropy(c), "repetition_score": S.repetition(T.words(c))}
+    d = d.withColumn("p", F.col(p_col) if p_col else prior(f)).withColumn("struct_", structure(f)).withColumn("encoding", F.coalesce(F.get("tree_", F.lit(0)).enc, F.lit("")))
     weight = F.create_map(*[F.lit(x) for r in R.RULES for x in (r.name, r.severity)])
     severities = F.transform("hits", lambda h: F.element_at(weight, h))
-    n_flags = F.when(F.col("peeled_").isNotNull(), 1).otherwise(0)
-    risk = verdict(F.col("p"), R.severity_sum(F.col("hits")), severities, n_flags, F.col("struct_"), F.size("payload_hits") > 0, threshold)
+    risk = verdict(F.col("p"), R.severity_sum(F.col("hits")), severities, F.size("flags"), F.col("struct_"), F.size("payload_hits") > 0, threshold)
     d = d.withColumn("risk", F.round(risk, 4)).withColumn("label", F.when(F.col("risk") >= threshold, "malicious").otherwise("safe"))
-    return d.withColumn("techniques", R.techniques(F.array_union("hits", "payload_hits"))).drop("peeled_", "struct_")
+    return d.withColumn("techniques", R.techniques(F.array_union("hits", "payload_hits"))).drop("raw_", "clean_", "views_", "tree_", "struct_")

@@ -90,3 +90,33 @@ def d_unwrap(spark, sf_dir):
     d = planted.documents(spark, sf_dir).select("doc_id", F.when(k == 0, T.b64(T.hexed(t))).when(k == 1, T.b64(T.b64(t))).otherwise(t).alias("text"))
     u = d.select("doc_id", D.unwrap(t).alias("u"))
     return u.select("doc_id", F.array_join("u.chain", ",").alias("chain"), F.size("u.chain").cast("long").alias("depth"), F.md5("u.text").alias("inner_md5"))
+
+
+_READ = "length(regexp_replace(b, '[^\\x20-\\x7E\\n\\r\\t]', '', 'g'))"
+_B64_BLOCKS = "list_transform(list_transform(regexp_extract_all(text, '[A-Za-z0-9+/]{20,}={0,2}'), lambda b: rtrim(b, '=')), lambda b: try(decode(from_base64(rpad(b, (ceil(length(b) / 4.0) * 4)::int, '=')))))"
+_HEX_BLOCKS = "list_transform(list_filter(regexp_extract_all(text, '[0-9a-fA-F]{16,}'), lambda b: length(b) % 2 = 0), lambda b: try(decode(unhex(b))))"
+_KEPT = f"lambda b: b is not null and {_READ} >= 3 and {_READ} > length(b) * 0.7"
+_WORDS_BACK = _telling_sql("array_to_string(list_transform(string_split(text, ' '), lambda w: reverse(w)), ' ')")
+
+
+def _one(enc: str, value: str) -> str:
+    return f"case when coalesce({value}, '') <> '' then [{{'enc': '{enc}', 'text': {value}}}] else [] end"
+
+
+def _inner(enc: str, blocks: str) -> str:
+    return f"case when coalesce({DECODED[enc]}, '') <> '' then [{{'enc': '{enc}', 'text': {DECODED[enc]}}}] else list_transform(list_filter({blocks}, {_KEPT}), lambda b: {{'enc': '{enc}', 'text': b}}) end"
+
+
+_PAIRS = f"list_concat(list_concat(list_concat(list_concat(list_concat(list_concat({_inner('base64', _B64_BLOCKS)}, {_inner('hex', _HEX_BLOCKS)}), {_one('url_encoded', DECODED['url'])}), {_one('rot13', DECODED['rot13'])}), {_one('full_reverse', DECODED['reversed'])}), {_one('word_reverse', _WORDS_BACK)}), {_one('leetspeak', DECODED['leet'])})"
+#: The decode tree of a table `clean`; its texts hold no Morse code, no number groups and no labels.
+TREE_SQL = f"""tree as (select doc_id, 0 as depth, ''::varchar as path, ''::varchar as enc, text, [md5(text)] as seen, length(text) as n0 from clean
+  union all select doc_id, depth + 1, path || chr((96 + i)::int), enc || case when enc = '' then '' else ',' end || p.enc, p.text, list_append(seen, md5(p.text)), n0 from (select doc_id, depth, path, enc, seen, n0, unnest(pairs) as p, generate_subscripts(pairs, 1) as i from (select *, {_PAIRS} as pairs from tree where depth < {D.DEPTH} and not list_contains(seen[:-2], seen[-1])))
+    where length(p.text) <= {D.GROWTH} * greatest(n0, 1) and length(trim(p.text, ' ')) >= 2)"""
+VIEWS_SQL = f"views as (select doc_id, path, enc, text from tree where depth > 0 qualify row_number() over (partition by doc_id order by path) <= {D.BUDGET})"
+
+
+@query("d_tree", f"with recursive {planted.SQL}, {_LAYERED}, clean as (select doc_id, text from layered), {TREE_SQL}, {VIEWS_SQL} select doc_id, enc, md5(text) as digest from views")
+def d_tree(spark, sf_dir):
+    k, t = F.pmod("doc_id", F.lit(4)), F.col("text")
+    d = planted.documents(spark, sf_dir).select("doc_id", F.when(k == 0, T.b64(T.hexed(t))).when(k == 1, T.b64(T.b64(t))).otherwise(t).alias("text"))
+    return d.select("doc_id", F.explode(D.tree(t)).alias("v")).select("doc_id", "v.enc", F.md5("v.text").alias("digest"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textguard.functions import text as T
 from textguard.operators import features as O
 from textguard.plans import planted
-from textguard.plans.catalog import query
+from textguard.plans.catalog import _SQL, query
 
 P = planted.SQL
 W = r"list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+'), lambda w: w <> '')"
@@ -75,8 +75,16 @@ query("f_entropy", f"""with {P} select doc_id, case when text = '' then 0.0::dou
     _of(lambda c: {"text_entropy": F.round(T.entropy(c), 6)})
 )
 
-query("f_quote_depth")(_of(lambda c: {"quote_depth": O.quote_depth(c)}))
-query("f_all")(_of(O.all_features))
+QUOTES = f"""with recursive {P}, c as (select doc_id, string_split(text, '') as c from planted where regexp_matches(text, '["''`]')), q as (select doc_id, c, unnest(list_filter(range(1, len(c) + 1), lambda i: c[i] in ('"', '''', '`'))) as i from c),
+  n as (select doc_id, row_number() over (partition by doc_id order by i) as k, c[i] as ch, coalesce(regexp_matches(case when i > 1 then c[i - 1] end, '[\\p{{L}}\\p{{N}}]'), false) as before, coalesce(regexp_matches(c[i + 1], '[\\p{{L}}\\p{{N}}]'), false) as after from q),
+  s as (select doc_id, 0::bigint as k, ''::varchar as stack, 0::bigint as deep from planted
+    union all select doc_id, k, stack, greatest(deep, length(stack)) from (select s.doc_id, n.k, s.deep, case when ch = '''' and before then case when right(stack, 1) = '''' and not after then left(stack, length(stack) - 1) else stack end
+      when right(stack, 1) = ch then left(stack, length(stack) - 1) else stack || ch end as stack from s join n on n.doc_id = s.doc_id and n.k = s.k + 1))
+select doc_id, max(deep) as quote_depth from s group by doc_id"""
+query("f_quote_depth", QUOTES)(_of(lambda c: {"quote_depth": O.quote_depth(c)}))
+
+_PARTS = ("f_length", "f_casing", "f_punct", "f_markers", "f_injection", "f_quote_depth", "f_entropy", "f_context", "f_patterns", "f_script_mix", "f_repetition")
+query("f_all", "select * from " + " join ".join(f"({_SQL[k]}) {k}" + (" using (doc_id)" if i else "") for i, k in enumerate(_PARTS)))(_of(O.all_features))
 
 
 @query("f_softcap", f"""with {P}, w as (select *, len({W})::bigint as words from planted)
