@@ -107,7 +107,10 @@ def language(c: Column) -> Column:
     words = F.regexp_extract_all(F.lower(c), F.lit(r"[a-zà-ÿ]+"), F.lit(0))
 
     def of(w: Column) -> Column:
-        shares = F.array(*[F.struct((F.size(F.filter(w, lambda x, v=v: x.isin(*v))) / F.greatest(F.size(w), F.lit(1))).alias("s"), F.lit(k).alias("k")) for k, v in STOP_WORDS.items()])
+        def among(v: list[str]):
+            return lambda x: x.isin(*v)
+
+        shares = F.array(*[F.struct((F.size(F.filter(w, among(v))) / F.greatest(F.size(w), F.lit(1))).alias("s"), F.lit(k).alias("k")) for k, v in STOP_WORDS.items()])
         return T.let(F.sort_array(shares, asc=False), lambda s: F.struct(F.when((F.length(c) >= 20) & (s[0].s >= LEAST_STOP), s[0].k).otherwise("und").alias("k"), ((F.length(c) >= 20) & (s[1].s >= LEAST_STOP) & (s[1].s >= SECOND * s[0].s)).alias("two")))
 
     best = T.let(words, of)
@@ -151,7 +154,8 @@ def hidden_binary(c: Column) -> Column:
     block = F.when(uri != "", uri).otherwise(F.regexp_extract(c, _BLOB, 0))
     bare = F.regexp_replace(block, "=+$", "")
     data = T.from_base64(F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), "="))
-    family, own = I.type_family(I.content_type(data)), I.type_family(I.content_type(F.encode(F.substring(c, 1, 300), "UTF-8")))
+    kind = lambda b: T.let(T.let(b, I.content_type), I.type_family)
+    family, own = kind(data), kind(F.encode(F.substring(c, 1, 300), "UTF-8"))
     large = F.length(block) > MOST_ENCODED
     return F.array_compact(F.array(
         F.when(own != "text", F.concat(F.lit("embedded_"), own)), F.when(uri != "", F.lit("data_uri_detected")), F.when((uri == "") & (block != ""), F.lit("base64_blob_detected")),

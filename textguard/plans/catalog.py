@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-MODULES = ("q_features", "q_intake", "q_extract", "q_rules", "q_decode", "q_score", "q_cascade", "q_output", "q_store", "q_prep", "q_evals", "q_ml", "q_stream")
+MODULES = ("q_features", "q_intake", "q_extract", "q_rules", "q_decode", "q_score", "q_cascade", "q_signals", "q_output", "q_store", "q_prep", "q_evals", "q_ml", "q_stream")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,3 +38,15 @@ def spread(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(sc.defaultParallelism) if size < sc.defaultParallelism << 27 else df
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the one that all executors share (spark.checkpoint.dir); a temporary one only in local mode
+    without it."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="textguard-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return f"{path.rstrip('/')}/{label}-{uuid.uuid4().hex}"
