@@ -5,7 +5,8 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,9 +23,9 @@ def _nfkc(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": texts, "changed": changed})
 
 
-@F.pandas_udf(T.StringType())
-def _no_marks(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")))
+def _unmarked(texts: pa.Array) -> pa.Array:
+    nfc, nfd = (lambda t: unicodedata.normalize("NFC", t)), (lambda t: unicodedata.normalize("NFD", t))
+    return pa.array([t and nfc("".join(c for c in nfd(t) if unicodedata.category(c) != "Mn")) for t in texts.to_pylist()], pa.string())
 
 
 def _ascii(c):
@@ -37,10 +38,16 @@ def nfkc(df: DataFrame, text_col: str = "text") -> DataFrame:
     c = F.col(text_col)
     made = df.withColumn("made_", _nfkc(F.when(~_ascii(F.coalesce(c, F.lit(""))), c).otherwise("")))
     skip = c.isNull() | _ascii(F.coalesce(c, F.lit("")))
-    return made.withColumn(text_col, F.when(skip, c).otherwise(F.col("made_.text"))).withColumn("nfkc_changed", F.coalesce(F.col("made_.changed") & ~skip, F.lit(False))).drop("made_")
+    flagged = made.withColumn("nfkc_changed", F.coalesce(F.col("made_.changed") & ~skip, F.lit(False)))  # before the text is replaced
+    return flagged.withColumn(text_col, F.when(skip, c).otherwise(F.col("made_.text"))).drop("made_")
+
+
+def no_marks(c: Column) -> Column:
+    """The text without combining marks; ASCII texts aren't sent to Python."""
+    plain = _ascii(F.coalesce(c, F.lit("")))
+    return F.when(plain, c).otherwise(F.arrow_udf(_unmarked, T.StringType())(F.when(plain, "").otherwise(c)))
 
 
 def strip_marks(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Combining marks go; ASCII texts skip the function."""
-    c = F.coalesce(F.col(text_col), F.lit(""))
-    return df.withColumn(text_col, F.when(_ascii(c), c).otherwise(_no_marks(c)))
+    """Combining marks go in place; null stays null."""
+    return df.withColumn(text_col, no_marks(F.col(text_col)))

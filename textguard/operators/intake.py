@@ -47,10 +47,11 @@ def rejection(raw: Column) -> Column:
     )
 
 
-def guard(raw: Column, depth: Column) -> Column:
-    """The first entry guard that fails: size, memory, depth."""
+def guard(raw: Column, depth: Column, admitted: Column | None = None) -> Column:
+    """The first entry guard that fails: rate (of streaming.limiter, if given), size, memory, depth."""
     c = T.text(raw)
-    return F.when(F.octet_length(c) > MAX_BYTES, "raw_bytes_oversized").when(F.octet_length(c) * 4 / 1048576.0 > MEMORY_MB, "memory_budget").when(depth > MAX_DEPTH, "html_depth")
+    first = F.when(F.lit(False) if admitted is None else ~admitted, "rate_limit")
+    return first.when(F.octet_length(c) > MAX_BYTES, "raw_bytes_oversized").when(F.octet_length(c) * 4 / 1048576.0 > MEMORY_MB, "memory_budget").when(depth > MAX_DEPTH, "html_depth")
 
 
 def html_depth(c: Column) -> Column:

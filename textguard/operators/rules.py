@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from textguard.functions import text as T
+from textguard.functions.unicode import no_marks
 from textguard.operators import intake as I
 
 WEIGHTS = {"critical_content": 0.45, "critical": 0.3, "high": 0.2, "medium": 0.1}
@@ -170,11 +171,12 @@ def any_hit(views: Column, rules: tuple[Rule, ...] | None = None) -> Column:
 
 
 def views(c: Column) -> Column:
-    """The lower-case text and its alternative readings, distinct: folded, plus-decoded, refanged and de-hyphenated."""
+    """The lower-case text and its alternative readings, distinct: folded, without marks, plus-decoded,
+    refanged and de-hyphenated. Codes such as Morse are layers of decode.tree."""
     from textguard.operators.extract import refang
 
     base = I.fold_angles(c)
-    return F.array_distinct(F.array(*[F.lower(x) for x in (base, I.plus_decoded(base), refang(base), I.dehyphenated(base))]))
+    return F.array_distinct(F.array(*[F.lower(x) for x in (base, no_marks(base), I.plus_decoded(base), refang(base), I.dehyphenated(base))]))
 
 
 def framed(c: Column) -> Column:
@@ -205,6 +207,22 @@ def techniques(hits: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(hits, lambda h: F.coalesce(F.try_element_at(ids, h), F.array().cast("array<string>")))))
 
 
+def audit(pattern: str) -> list[str]:
+    """What could make a pattern backtrack without end: a quantifier inside a quantified group, alternatives of a
+    quantified group that begin alike, and a quantified back reference."""
+    found = []
+    if re.search(r"\([^()]*[+*][^()]*\)[+*]", pattern):
+        found.append("nested quantifier")
+    for group in re.findall(r"\((?:\?:)?([^()]*\|[^()]*)\)[+*]", pattern):
+        parts = group.split("|")
+        if any(x and y and (x.startswith(y) or y.startswith(x)) for i, x in enumerate(parts) for y in parts[i + 1 :]):
+            found.append("overlapping alternatives")
+    if re.search(r"\\[1-9][+*]", pattern):
+        found.append("quantified back reference")
+    return found
+
+
 def unsafe_patterns() -> list[str]:
-    """Names of rules whose pattern nests an unbounded quantifier in another, which could backtrack without end."""
-    return [r.name for r in RULES if re.search(r"\([^()]*[+*][^()]*\)[+*]", r.pattern)]
+    """Names of rules whose pattern `audit` finds fault with. Python's and Spark's searches know no time limit, so patterns are
+    audited and have bounded repeats, and texts are bounded by intake."""
+    return [r.name for r in RULES if audit(r.pattern)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from textguard.functions import text as T
@@ -84,7 +86,11 @@ def i_fullwidth(spark, sf_dir):
     return disguised(spark, sf_dir).select("doc_id", F.md5(I.fullwidth_fold(F.col("text"))).alias("folded"), T.count(F.col("text"), "[！-～]").alias("n_wide"))
 
 
-@query("i_invisible")
+_GAP = "[\\p{Cf}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]"
+
+
+#: No gap of the disguised documents lies between letters, so none becomes a space.
+@query("i_invisible", f"with {DISGUISED} select doc_id, md5(regexp_replace(text, '{_GAP}+', '', 'g')) as stripped, len(regexp_extract_all(text, '{_GAP}'))::bigint as n_invisible, len(regexp_extract_all(text, '{_GAP}')) > 2 as invisible_chars_found from disguised")
 def i_invisible(spark, sf_dir):
     c = F.col("text")
     return disguised(spark, sf_dir).select("doc_id", F.md5(I.strip_invisible(c)).alias("stripped"), I.invisible_count(c).alias("n_invisible"), (I.invisible_count(c) > 2).alias("invisible_chars_found"))
@@ -176,12 +182,18 @@ def i_html_text(spark, sf_dir):
     return visible_text(planted.table(spark, sf_dir, "pages").select("page_id", "html"), "html")
 
 
-@query("i_html_depth")
+@query("i_html_depth", """with recursive c as (select page_id, regexp_extract_all(coalesce(html, ''), '</?[a-zA-Z]') as tags from pages),
+  s as (select page_id, tags, 1 as i, 0 as lev, 0 as deep from c union all select page_id, tags, i + 1, case when tags[i][2] = '/' then greatest(lev - 1, 0) else lev + 1 end, greatest(deep, case when tags[i][2] = '/' then 0 else lev + 1 end) from s where i <= len(tags))
+select page_id, max(deep)::bigint as depth from s group by page_id""")
 def i_html_depth(spark, sf_dir):
     return planted.table(spark, sf_dir, "pages").select("page_id", I.html_depth(T.text("html")).alias("depth"))
 
 
-@query("i_nfkc")
+_COMPAT = I.FULLWIDTH + "\u00a0\u2003\u2002\u2009\u3000\u202f"
+
+
+#: The disguises have full-width letters and spaces alone.
+@query("i_nfkc", f"with {DISGUISED}, c as (select *, length(text) - length(regexp_replace(text, '[{re.escape(_COMPAT)}]', '', 'g')) as n from disguised) select doc_id, md5(translate(text, {q(_COMPAT)}, {q(I.HALFWIDTH + ' ' * 6)})) as folded, n > 0.25::double * length(text) as nfkc_changed from c")
 def i_nfkc(spark, sf_dir):
     from textguard.functions.unicode import nfkc
 
@@ -200,3 +212,22 @@ select doc_id, md5(regexp_replace(t, '([A-Za-z])-([A-Za-z])', '\1\2', 'g')) as j
 def i_dehyphenate(spark, sf_dir):
     d = planted.table(spark, sf_dir, "documents").select("doc_id", F.replace(T.text("text"), F.lit("tion"), F.lit("-ti-on")).alias("t"))
     return d.select("doc_id", F.md5(I.dehyphenated(F.col("t"))).alias("joined"), T.count(F.col("t"), "[A-Za-z]-[A-Za-z]").alias("joints"))
+
+
+@query("n_marks", "select doc_id, md5(strip_accents(text)) as bare from documents where text is not null")
+def n_marks(spark, sf_dir):
+    from textguard.functions.unicode import strip_marks
+
+    return strip_marks(planted.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", F.md5("text").alias("bare"))
+
+
+@query("src_mail", "select item_id, true as is_mail, md5(text || chr(10)) as body, 'a.bin' as filename, 3::bigint as size from benchmark where text is not null")
+def src_mail(spark, sf_dir):
+    """Items as mails of two parts, and read again."""
+    from textguard.sources.markup import looks_like_mail, parse_mail
+
+    head = "From: a@example.org\nTo: b@example.org\nSubject: s\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=cut\n\n--cut\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"
+    tail = "\n\n--cut\nContent-Type: application/octet-stream\nContent-Disposition: attachment; filename=a.bin\nContent-Transfer-Encoding: base64\n\nAAEC\n--cut--\n"
+    d = planted.table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.encode(F.concat(F.lit(head), "text", F.lit(tail)), "UTF-8").alias("m"))
+    d = d.select("item_id", looks_like_mail(F.col("m")).alias("is_mail"), parse_mail(F.col("m")).alias("p"))
+    return d.select("item_id", "is_mail", F.md5("p.body").alias("body"), F.get("p.attachments", F.lit(0)).filename.alias("filename"), F.get("p.attachments", F.lit(0))["size"].alias("size"))

@@ -63,7 +63,7 @@ DISGUISE_SQL = "tricky as (select doc_id, case doc_id % 3 when 0 then replace(re
 
 @query("r_alt_views", f"""with {planted.SQL}, {DISGUISE_SQL}, b as (select doc_id, {_BASE} as text from tricky),
   views as (select doc_id, text from b union all select doc_id, case when length(text) - length(replace(text, '+', '')) >= 3 and not contains(text, ' ') then replace(text, '+', ' ') else text end from b
-    union all select doc_id, {_REFANG} from b union all select doc_id, regexp_replace(translate(text, {q(I.DASHES)}, {q('-' * len(I.DASHES))}), '([A-Za-z])-([A-Za-z])', '\\1\\2', 'g') from b),
+    union all select doc_id, strip_accents(text) from b union all select doc_id, {_REFANG} from b union all select doc_id, regexp_replace(translate(text, {q(I.DASHES)}, {q('-' * len(I.DASHES))}), '([A-Za-z])-([A-Za-z])', '\\1\\2', 'g') from b),
   {hits_sql('views')}, h as (select distinct doc_id, name, pos from hits)
 select t.doc_id, coalesce(string_agg(name, ',' order by pos), '') as hits from tricky t left join h using (doc_id) group by t.doc_id""")
 def r_alt_views(spark, sf_dir):
@@ -98,7 +98,10 @@ def r_dual_surface(spark, sf_dir):
     return d.select("doc_id", F.size(F.array_union(clean, raw)).cast("bigint").alias("n_hits"))
 
 
-@query("r_techniques")
+_TECHS = "techs(name, technique) as (values " + ", ".join(f"({q(r.name)}, {q(t)})" for r in R.RULES for t in r.techniques) + ")"
+
+
+@query("r_techniques", f"with {planted.SQL}, {hits_sql()}, {_TECHS} select technique, count(distinct doc_id)::bigint as n_docs from hits join techs using (name) group by technique")
 def r_techniques(spark, sf_dir):
     t = with_hits(spark, sf_dir).select("doc_id", F.explode(R.techniques(F.col("hits"))).alias("technique"))
     return t.groupBy("technique").agg(F.countDistinct("doc_id").alias("n_docs"))

@@ -25,7 +25,7 @@ CLEAN_SQL = f"""a0 as (select doc_id, kind, text as raw, regexp_replace(translat
   clean as (select doc_id, kind, raw, regexp_replace(regexp_replace(regexp_replace(t, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\t{{3,}}', chr(9), 'g') as text from a0)"""
 _FOLD = f"translate({{}}, {q(I.ANGLES_FROM)}, {q(I.ANGLES_TO)})"
 _READINGS = f"""both_ as (select doc_id, {_FOLD.format('text')} as text from clean union select doc_id, {_FOLD.format('raw')} from clean), readings as (select doc_id, text from both_
-    union select doc_id, replace(text, '+', ' ') from both_ where length(text) - length(replace(text, '+', '')) >= 3 and not contains(text, ' ') union select doc_id, {_REFANG} from both_
+    union select doc_id, replace(text, '+', ' ') from both_ where length(text) - length(replace(text, '+', '')) >= 3 and not contains(text, ' ') union select doc_id, strip_accents(text) from both_ union select doc_id, {_REFANG} from both_
     union select doc_id, regexp_replace(translate(text, {q(I.DASHES)}, {q('-' * len(I.DASHES))}), '([A-Za-z])-([A-Za-z])', '\\1\\2', 'g') from both_)"""
 
 

@@ -69,22 +69,29 @@ def visible_text(df: DataFrame, html_col: str = "html") -> DataFrame:
     return df.mapInArrow(_visible(df.columns.index(html_col)), schema)
 
 
-_ATTACHMENT = T.StructType().add("filename", T.StringType()).add("content_type", T.StringType()).add("size", T.LongType())
+_MAIL = T.StructType().add("body", T.StringType()).add("attachments", T.ArrayType(T.StructType().add("filename", T.StringType()).add("content_type", T.StringType()).add("size", T.LongType())))
+_MAIL_ARROW = pa.struct([("body", pa.string()), ("attachments", pa.list_(pa.struct([("filename", pa.string()), ("content_type", pa.string()), ("size", pa.int64())])))])
+
+
+def _mails(contents: pa.Array) -> pa.Array:
+    rows = []
+    for content in contents.to_pylist():
+        body, attachments = [], []
+        for part in email.message_from_bytes(content or b"", policy=email.policy.default).walk():
+            if part.is_multipart():
+                continue
+            data = part.get_payload(decode=True) or b""
+            if part.get_content_type() in ("text/plain", "text/html") and not part.get_filename():
+                body.append(data.decode(part.get_content_charset() or "utf-8", "replace"))
+            else:
+                attachments.append({"filename": part.get_filename() or "", "content_type": part.get_content_type(), "size": len(data)})
+        rows.append({"body": "\n".join(body), "attachments": attachments})
+    return pa.array(rows, _MAIL_ARROW)
 
 
-@F.udf(T.StructType().add("body", T.StringType()).add("attachments", T.ArrayType(_ATTACHMENT)), useArrow=True)
 def parse_mail(content):
-    """Body texts and attachments of an e-mail."""
-    body, attachments = [], []
-    for part in email.message_from_bytes(bytes(content or b""), policy=email.policy.default).walk():
-        if part.is_multipart():
-            continue
-        data = part.get_payload(decode=True) or b""
-        if part.get_content_type() in ("text/plain", "text/html") and not part.get_filename():
-            body.append(data.decode(part.get_content_charset() or "utf-8", "replace"))
-        else:
-            attachments.append((part.get_filename() or "", part.get_content_type(), len(data)))
-    return "\n".join(body), attachments
+    """struct(body, attachments) of an e-mail's bytes, in Arrow batches; null counts as empty bytes."""
+    return F.arrow_udf(_mails, _MAIL)(content)
 
 
 def looks_like_mail(content):
