@@ -26,7 +26,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text in a group of documents, and for each part that the distinct words are cut into: there are as many
 #: parts as the input needs, so that a part's size doesn't grow with it.
-GROUP_BYTES, PART_BYTES = 16 << 20, 16 << 20
+GROUP_BYTES, PART_BYTES = 8 << 20, 8 << 20
 #: Bytes from which a word is merged by a heap.
 LONG = 64
 
