@@ -109,3 +109,44 @@ def test_warc_empty(spark):
     path = new_path(spark, "warc")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read_warc(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("rows", [ROWS, []])
+def test_pipeline_stages_take_any_table(spark, rows):
+    """Nulls, empty and long texts, repeated rows, an empty table, clashing extra columns and no n_chars."""
+    import corpus_pipeline
+
+    ship(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", *[F.lit(7).alias(c) for c in EXTRA])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns
+        kept = out.select("doc_id", "text").collect()
+        assert len(kept) <= len(rows) and set(map(tuple, kept)) <= set(rows)
+        for blank in ("", None):
+            assert sum(r.text == blank for r in kept) == sum(t == blank for _, t in rows)
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
+    assert tokens.count() == len(rows)
+
+
+def test_ids_that_are_no_numbers(spark):
+    ship(spark)
+    docs = spark.createDataFrame([("a", "one text of words"), ("b", "another text of words"), ("7", "a third one")], "doc_id string, text string")
+    assert fingerprint.fingerprints(docs).select("doc_id").distinct().count() == 3
+    assert len({r.doc_id for r in bpe.encode(docs).collect()}) == 3 and 7 in {r.doc_id for r in bpe.encode(docs).collect()}
+    assert lines.dedup_lines(docs).count() == 3 and neardup.drop_near_duplicates(docs).count() == 3
+
+
+def test_scratch_tables_go(spark):
+    from textguard.llm import common
+
+    ship(spark)
+    docs = spark.createDataFrame([(1, "a text of words"), (2, "a text of words")], "doc_id long, text string")
+    with common.scratch(spark):
+        made = len(common._MADE)
+        assert neardup.drop_near_duplicates(docs).count() == 1
+        paths = common._MADE[made:]
+        assert paths
+    import os
+
+    assert not [p for p in paths if os.path.exists(p.removeprefix("file://"))]
