@@ -211,13 +211,16 @@ def circuit_breaker(calls: DataFrame, key: str, at: str, ok: str, failures: int
     return d.mapInPandas(_breaker(key, at, ok, failures, seconds), calls.schema.add("state", "string"))
 
 
-QUESTION = "who what when where why how which is are was were do does did can could will would should shall has have had may might".split()
+QUESTION = (
+    "are can could did do does had has have how is may might shall should was were what when where which who why will would "
+).split()
 INTENT = (
-    "explain describe write create generate make list tell show give find help translate summarize analyze compare define calculate solve convert fix debug implement build design outline "
-    "clarify elaborate suggest recommend improve rewrite edit check review test run execute deploy install configure set get fetch search read open close start stop update delete add remove "
-    "change know think need want like use try provide include consider continue understand"
+    "add analyze build calculate change check clarify close compare configure consider continue convert create debug define delete deploy describe design "
+    "edit elaborate execute explain fetch find fix generate get give help implement improve include install know like list make need open outline provide "
+    "read recommend remove review rewrite run search set show solve start stop suggest summarize tell test think translate try understand update use want "
+    "write "
 ).split()
-BOUNDS = ("---", "===", "***", "###", "```")
+BOUNDS = ("###", "***", "---", "===", "```")
 LENGTH = {"general": 2000, "summarization": 10000, "qa": 1000, "coding": 5000}
 _TURN = (("do", "also", "ignore"), ("follow", "also", "disregard"), ("obey", "also", "override"), ("must", "actually", "ignore"), ("comply", "also", "skip"), ("follow", "actually", "forget"))
 CONTRADICTION = "(?s)" + "|".join(f"(?:^|[^a-z]){a}[^a-z].{{1,500}}[^a-z]but (?:{b} )?{c}(?:[^a-z]|$)" for a, b, c in _TURN)
@@ -227,10 +230,10 @@ PERSONA = (
     r"you are (?:now|no longer) ", r"(?:act|behave|respond) as (?:if you|though you|an? (?:unrestricted|evil|unfiltered))", r"pretend (?:to be|you are|that you)", r"from now on,? you", r"your new (?:name|role|persona|identity)",
     r"(?:enter|switch to|enable) (?:dan|developer|god|jailbreak) mode", r"(?:forget|drop) (?:that )?you are an? (?:ai|assistant|model)", r"roleplay as ", r"take on the (?:role|persona) of", r"you (?:have|had) no (?:rules|restrictions|limits)", r"speak as (?:though|if) you",
 )
-MARKERS = ("[system]", "<<sys>>", "<</sys>>", "[inst]", "[/inst]", "</s>", "<|im_start|>", "<|im_end|>", "<|system|>", "<|user|>", "<|assistant|>", "### system:", "### human:", "### assistant:")
+MARKERS = ("### assistant:", "### human:", "### system:", "</s>", "<</sys>>", "<<sys>>", "<|assistant|>", "<|im_end|>", "<|im_start|>", "<|system|>", "<|user|>", "[/inst]", "[inst]", "[system]")
 TASK_WORDS = {
-    "summarization": "summarize summary summarise condense recap gist abstract synopsis tldr".split(),
-    "coding": "function class bug error code implement fix debug compile runtime syntax variable loop array string integer exception refactor algorithm api module import library framework test script program method object python javascript java rust html css sql".split(),
+    "summarization": "abstract condense gist recap summarise summarize summary synopsis tldr".split(),
+    "coding": "algorithm api array bug class code compile css debug error exception fix framework function html implement import integer java javascript library loop method module object program python refactor runtime rust script sql string syntax test variable".split(),
 }
 
 

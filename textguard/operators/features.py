@@ -17,7 +17,7 @@ BOUNDARY = r"(?i)(?:-{3,}|={3,}|\[/?(?:system|inst)\]|<</?sys>>|(?:new|end[ ]+of
 NEGATION = r"(?i)(?:do[ ]+not|don'?t|never|stop)[ ]+[A-Za-z0-9_]*[ ]*(?:mention|reveal|tell|say|follow)"
 URL = r"https?://"
 EMAIL = r"[A-Za-z0-9_]@[A-Za-z0-9_]+\.[A-Za-z0-9_]"
-MANY_SHOT = r"(?i)(?:(?:example|step|turn|round|attempt|iteration|question|scenario)[ \t\n\r]*[0-9]+|(?:q|a|user|assistant|human|bot)[ \t\n\r]*[:.]|[0-9]{1,3}[ \t\n\r]*[:.)\]][ \t\n\r])"
+MANY_SHOT = r"(?i)(?:(?:attempt|example|iteration|question|round|scenario|step|turn)[ \t\n\r]*[0-9]+|(?:a|assistant|bot|human|q|user)[ \t\n\r]*[:.]|[0-9]{1,3}[ \t\n\r]*[:.)\]][ \t\n\r])"
 DELIMITER = r"(?:-{3,}|={3,}|\*{3,}|#{3,}|</?[a-zA-Z][^>]{0,50}>|```|\[/?[A-Za-z]+\])"
 TEMPLATE = r"(?:\{\{[^}]+\}\}|\{[a-zA-Z_][A-Za-z0-9_]*\}|<\|[^|]+\|>|\$\{[^}]+\})"
 FIRST = r"(?i)(?:^|[^A-Za-z0-9_])(?:i|my|me|we|our)(?:[^A-Za-z0-9_]|$)"

@@ -98,8 +98,8 @@ _STEGO = Ty.StructType().add("method", Ty.StringType()).add("confidence", Ty.Dou
 def _bits_to_text(bits: str) -> str:
     """Bytes of a string of bits, up to the first zero byte."""
     out = []
-    for i in range(0, len(bits) - 7, 8):
-        b = int(bits[i : i + 8], 2)
+    for eight in zip(*[iter(bits)] * 8):
+        b = int("".join(eight), 2)
         if not b:
             break
         out.append(b)
