@@ -97,6 +97,7 @@ class Decoder:
     def __init__(self, model: np.ndarray):
         self.model = model.ravel().tolist()
         self.seen: dict[str, list[bytes]] = {}
+        self.known: dict[tuple[str, bool, bool], list[tuple[str, float, int]]] = {}  # arcs by what decides them
 
     def arcs(self, token: str, i: int) -> list[tuple[str, float]]:
         """What the i-th character may stand for ('' for nothing, ' ' for a word's end), with log probabilities."""
@@ -119,19 +120,25 @@ class Decoder:
         return out
 
     def __call__(self, token: str) -> str:
-        model = self.model
+        model, known, n = self.model, self.known, len(token)
         best: dict[int, tuple[float, tuple | None]] = {END * SYMBOLS + END: (0.0, None)}  # a reading is a chain of (rest, last symbol)
-        for i in range(len(token)):
+        for i, c in enumerate(token):
+            double = i > 0 and token[i - 1] == c
+            key = c, double, double and ((i > 1 and token[i - 2] == c) or (i + 1 < n and token[i + 1] == c))
+            if (arcs := known.get(key)) is None:
+                arcs = known[key] = [(x, lp, symbol(x) if x else -1) for x, lp in self.arcs(token, i)]
             nxt: dict[int, tuple[float, tuple | None]] = {}
-            arcs = [(x, lp, symbol(x) if x else -1) for x, lp in self.arcs(token, i)]
             for state, (score, chain) in best.items():
+                last = state % SYMBOLS
                 for x, lp, s in arcs:
-                    if s < 0 or (s == END and state % SYMBOLS == END):
-                        to, new, out = state, score + lp, chain
+                    if s < 0 or (s == END and last == END):
+                        new = score + lp
+                        if (old := nxt.get(state)) is None or new > old[0]:
+                            nxt[state] = new, chain
                     else:
-                        to, new, out = state % SYMBOLS * SYMBOLS + s, score + lp + model[state * SYMBOLS + s], (chain, x)
-                    if to not in nxt or new > nxt[to][0]:
-                        nxt[to] = (new, out)
+                        to, new = last * SYMBOLS + s, score + lp + model[state * SYMBOLS + s]
+                        if (old := nxt.get(to)) is None or new > old[0]:
+                            nxt[to] = new, (chain, x)
             best = nxt
         final = [(score + (0 if state % SYMBOLS == END else model[state * SYMBOLS + END]), chain) for state, (score, chain) in best.items()]
         chain, out = max(final, key=lambda x: x[0])[1], []
