@@ -32,13 +32,13 @@ def t_tumbling(spark, sf_dir):
     return scans.tumbling(events(spark, sf_dir), "ts", "1 day", ["event_type"]).withColumn("start", F.unix_timestamp("start"))
 
 
-@query("t_sliding", "select start, event_type, count(*)::bigint as n from (select event_type, unnest([b, b - 21600]) as start from (select event_type, ts, (epoch(ts)::bigint // 21600) * 21600 as b from (select event_type, ts, epoch(ts) from events))) group by all")
+@query("t_sliding", "select start, event_type, count(*)::bigint as n from (select event_type, unnest([b, b - 21600]) as start from (select event_type, ts, (floor(epoch(ts))::bigint // 21600) * 21600 as b from events)) group by all")
 def t_sliding(spark, sf_dir):
     return scans.sliding(events(spark, sf_dir), "ts", "12 hours", "6 hours", ["event_type"]).withColumn("start", F.unix_timestamp("start"))
 
 
 @query("t_sessions", """with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 8 hour then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts) as k from g)
-select user_id, epoch(min(ts))::bigint as start, count(*)::bigint as n from s group by user_id, k""")
+select user_id, floor(epoch(min(ts)))::bigint as start, count(*)::bigint as n from s group by user_id, k""")
 def t_sessions(spark, sf_dir):
     return scans.sessions(events(spark, sf_dir), "ts", "8 hours", ["user_id"]).withColumn("start", F.unix_timestamp("start"))
 
