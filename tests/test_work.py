@@ -1,0 +1,47 @@
+"""How much work a query does: steps that run once, and long texts in proportional time. Results beside plain forms."""
+
+import random
+import re
+import time
+
+from pyspark.sql import functions as F
+
+from textguard.operators import decode
+from textguard.session import ship
+
+DATA = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def seconds(f):
+    began = time.process_time()
+    f()
+    return time.process_time() - began
+
+
+def run(spark, name):
+    import __spark_entry__ as entry
+
+    return entry.queries()[name](spark, DATA)
+
+
+def test_the_tree_is_made_once(spark):
+    assert len(re.findall(r"ArrowEvalPython \[_trees", plan(run(spark, "d_tree")))) == 1
+
+
+def test_long_texts_are_followed_in_proportional_time():
+    draw = random.Random(4)
+    prose = " ".join("".join(draw.choices("abcdehilmnorstu", k=draw.randint(2, 9))) for _ in range(100_000))
+    assert seconds(lambda: decode.tree_of(prose)) < 0.3
+    assert seconds(lambda: decode.numeric_of("7" * 100_000 + "." + " numb 1")) < 0.3
+
+
+def test_words_are_counted_as_by_the_pattern():
+    draw = random.Random(6)
+    bits = ["instruction", "instructions", "bypass", "password", "secret", "system", "ignore", "İgnore", "jailbreaK", " ", "é"]
+    for _ in range(3000):
+        t = "".join(draw.choices(bits, k=draw.randint(0, 4)))
+        assert decode._kinds(t) == len(set(re.findall(decode.KEYWORDS, t.lower())))

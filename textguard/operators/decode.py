@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+import string
 from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -179,13 +181,20 @@ def numeric(c: Column) -> Column:
 #: Decodes of a text that a scan follows, and how long a layer may be by the original's length.
 BUDGET, GROWTH = 8, 10
 
-_LETTER = re.compile("[^A-Za-z]")
 _GAP = re.compile(r"[ \t\n\r\f\x0B]+")
-_KEYWORDS, _SYMBOLS = re.compile(KEYWORDS), re.compile(LEET_SYMBOL)
-_WHOLE_64, _BLOCK_64 = re.compile(r"[A-Za-z0-9+/]+={0,2}\Z"), re.compile("[A-Za-z0-9+/]{20,}={0,2}")
-_WHOLE_HEX, _BLOCK_HEX = re.compile(r"(?:[0-9a-fA-F]{2})+\Z"), re.compile("[0-9a-fA-F]{16,}")
+_KEYWORDS = re.compile(KEYWORDS)
+_BLOCK_64, _BLOCK_HEX = re.compile(b"[A-Za-z0-9+/]{20,}={0,2}"), re.compile(b"[0-9a-fA-F]{16,}")
 _ESCAPE, _LABEL = re.compile("%[0-9A-Fa-f]{2}"), re.compile("(?s)" + LABEL + "(.+)")
-_ROT, _LEET = str.maketrans(T.ROT_FROM, T.ROT_TO), str.maketrans(T.LEET_FROM, T.LEET_TO)
+_MORSE_LABEL, _NUMBER_LABEL = re.compile("(?i)[^a-z]*morse(?: code)?[ ]*[:=][ ]*"), re.compile("(?i)[^0-9]*(?:ascii|decimal|octal|numbers?)[ ]*[:=][ ]*")
+_ROT, _LEET = bytes.maketrans(T.ROT_FROM.encode(), T.ROT_TO.encode()), bytes.maketrans(T.LEET_FROM.encode(), T.LEET_TO.encode())
+#: Sets of characters as bytes: what a set leaves of a text's bytes is counted, as that needs no step for each character.
+_BLANKS, _PRINTABLE, _LETTERS, _DIGITS = b" \t\n\r\f\x0B", bytes([9, 10, 13, *range(32, 127)]), string.ascii_letters.encode(), string.digits.encode()
+_DIGITS_64, _DIGITS_16, _SYMBOLS, _SIGNS, _GROUPS = _LETTERS + _DIGITS + b"+/", string.hexdigits.encode(), LEET_SYMBOL.strip("[]").encode(), b"./|-", _DIGITS + b" ,;|\n\t"
+#: What every match of KEYWORDS holds one of, as it stands, in ROT13 and backwards.
+_WORDS = [w.encode() for w in re.sub(r"^\(\?:|s\?|\)$", "", KEYWORDS).split("|")]
+_WORDS_ROT, _WORDS_BACK = [w.translate(_ROT) for w in _WORDS], [w[::-1] for w in _WORDS]
+#: Letters that lower case or a search without case turns into ASCII ones; texts that hold one are searched as they are.
+_ODD = "\u0130\u0131\u017f\u212a"
 
 
 def _utf8(data: bytes) -> str | None:
@@ -195,30 +204,52 @@ def _utf8(data: bytes) -> str | None:
         return None
 
 
-def _from_base64(s: str) -> str | None:
-    bare = s.rstrip("=")
+def _from_base64(s: bytes) -> str | None:
+    bare = s.rstrip(b"=")
     try:
-        return _utf8(base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True))
+        return _utf8(base64.b64decode(bare + b"=" * (-len(bare) % 4), validate=True))
     except (binascii.Error, ValueError):
         return None
 
 
 def _readable(t: str | None) -> bool:
-    n = sum(" " <= x <= "~" or x in "\n\r\t" for x in t) if t else 0
+    n = _count(t.encode(), _PRINTABLE) if t else 0
     return n >= 3 and n > len(t or "") * 0.7
 
 
+def _count(data: bytes, of: bytes) -> int:
+    return len(data) - len(data.translate(None, of))
+
+
+def _run(data: bytes, of: bytes) -> int:
+    """Length of the longest run of some bytes."""
+    other = np.ones(256, bool)
+    other[list(of)] = False
+    ends = np.flatnonzero(other[np.frombuffer(data, np.uint8)])
+    return int(np.diff(ends, prepend=-1, append=len(data)).max()) - 1
+
+
 def _kinds(t: str) -> int:
-    return len(set(_KEYWORDS.findall(t.lower())))
+    """How many different attack words a text holds. One that stands alone can't be hidden by another that it overlaps."""
+    if not t.isascii() and any(x in t for x in _ODD):
+        return len(set(_KEYWORDS.findall(t.lower())))
+    low = t.encode().lower()
+    here = sum(w in low for w in _WORDS)
+    return here if here < 2 and b"instruction" not in low else len(set(_KEYWORDS.findall(t.lower())))
 
 
 def morse_of(t: str) -> str | None:
     """As `morse`, the text alone."""
+    data = t.encode()
+    odd = not t.isascii() and any(x in t for x in _ODD)
+    solid = len(t) - _count(data, _BLANKS)
+    signs = _count(data, _SIGNS) + (0 if t.isascii() else sum(t.count(x) for x in DOTS + STROKES))
+    if not odd and (solid < 10 or signs < 0.8 * solid) and b"morse" not in data.lower():
+        return None
     s = t.translate(str.maketrans(DOTS + STROKES, "." * len(DOTS) + "-" * len(STROKES)))
-    bare = re.sub("(?i)^[^a-z]*morse(?: code)?[ ]*[:=][ ]*", "", s)
-    solid = _GAP.sub("", bare)
-    signs = sum(x in "./|-" for x in solid)
-    if len(solid) < 10 or (bare == s and signs < 0.8 * len(solid)):
+    label = _MORSE_LABEL.match(s)
+    bare = s[label.end() :] if label else s
+    if len(_GAP.sub("", bare)) < 10 or (bare == s and signs < 0.8 * solid):
         return None
     kept = " / ".join(x for x in bare.split("\n") if not re.match(r"[ ]*(?:[-=_]{3,}|\.{3,}|[0-9]+(?:\.[0-9]+){3})[ ]*\Z", x))
     words = ["".join(MORSE.get(x, "") for x in re.split("[ |]+", w.strip())) for w in re.split(r" */ *|   +", kept)]
@@ -227,12 +258,19 @@ def morse_of(t: str) -> str | None:
 
 def numeric_of(t: str) -> tuple[str, str] | None:
     """As `numeric`: (kind, text)."""
-    if len(_LETTER.sub("", t)) > 0.5 * len(t) or re.search(MODE, t) or re.search(r"[0-9]+\.[0-9]+\.[0-9]+", t):
+    data = t.encode()
+    if _count(data, _LETTERS) > 0.5 * len(t):
+        return None
+    if _count(data, _GROUPS) < len(data):  # other characters can only stand in a label
+        low = data.lower()
+        if not (not t.isascii() and any(x in t for x in _ODD) or any(w in low for w in (b"ascii", b"decimal", b"octal", b"number"))) or not _NUMBER_LABEL.match(t):
+            return None
+    if re.search(MODE, t) or re.search(r"[0-9]\.[0-9]+\.[0-9]", t):
         return None
     found: dict[str, str] = {}
     if re.match(r"(?:[01]{7,8}[ ,|\n]+){4,}[01]{7,8}\Z", t):
         found["binary"] = "".join(chr(int(g, 2)) for g in re.split("[ ,|\n]+", t))
-    groups = [g for g in re.split(r"[ ,;|\n\t]+", re.sub("(?i)^[^0-9]*(?:ascii|decimal|octal|numbers?)[ ]*[:=][ ]*", "", t)) if g]
+    groups = [g for g in re.split(r"[ ,;|\n\t]+", _NUMBER_LABEL.sub("", t, 1) if _NUMBER_LABEL.match(t) else t) if g]
     for kind, digits, base in (("octal", "[0-7]{2,3}", 8), ("decimal", "[0-9]{2,3}", 10)):
         if len(groups) >= 5 and all(re.fullmatch(digits, g) and 9 <= int(g, base) <= 126 for g in groups):
             found[kind] = "".join(chr(int(g, base)) for g in groups)
@@ -247,23 +285,30 @@ def pairs_of(t: str) -> list[tuple[str, str]]:
     """(encoding, text) of all that one layer of a text decodes to, in the order of the decoders. Blocks inside a text
     count where the whole isn't encoded."""
     out: list[tuple[str, str | None]] = []
-    bare = _GAP.sub("", t)
-    whole = _from_base64(bare) if len(bare) >= 16 and len(bare) % 4 == 0 and _WHOLE_64.match(bare) else None
-    out += [("base64", whole)] if whole else [("base64", x) for x in map(_from_base64, _BLOCK_64.findall(t)) if _readable(x)]
-    whole = _utf8(bytes.fromhex(bare)) if len(bare) >= 8 and _WHOLE_HEX.match(bare) else None
-    out += [("hex", whole)] if whole else [("hex", x) for x in (_utf8(bytes.fromhex(b)) for b in _BLOCK_HEX.findall(t) if len(b) % 2 == 0) if _readable(x)]
-    if _ESCAPE.search(t):
+    data = t.encode()
+    odd, low, bare = not t.isascii() and any(x in t for x in _ODD), data.lower(), data.translate(None, _BLANKS)
+    run, body = _run(data, _DIGITS_64), bare.rstrip(b"=")
+    whole = _from_base64(bare) if len(bare) >= 16 and len(bare) % 4 == 0 and body and len(bare) - len(body) <= 2 and not body.translate(None, _DIGITS_64) else None
+    out += [("base64", whole)] if whole else [("base64", x) for x in map(_from_base64, _BLOCK_64.findall(data) if run >= 20 else ()) if _readable(x)]
+    whole = _utf8(bytes.fromhex(bare.decode())) if len(bare) >= 8 and len(bare) % 2 == 0 and not bare.translate(None, _DIGITS_16) else None
+    blocks = _BLOCK_HEX.findall(data) if not whole and run >= 16 and _run(data, _DIGITS_16) >= 16 else ()
+    out += [("hex", whole)] if whole else [("hex", x) for x in (_utf8(bytes.fromhex(b.decode())) for b in blocks if len(b) % 2 == 0) if _readable(x)]
+    if "%" in t and _ESCAPE.search(t):
         decoded = _utf8(unquote_to_bytes(t.replace("+", " ")))
         out.append(("url_encoded", decoded if decoded != t else None))
-    if label := _LABEL.search(t):
-        out.append(("rot13", label[1].translate(_ROT)))
-    if len(_LETTER.sub("", t)) >= 10 and _kinds(t) < 2:
-        if not label:
-            out.append(("rot13", r if _kinds(r := t.translate(_ROT)) >= 2 else None))
-        out.append(("full_reverse", r if _kinds(r := t[::-1]) >= 2 else None))
-        out.append(("word_reverse", r if _kinds(r := " ".join(w[::-1] for w in t.split(" "))) >= 2 else None))
-        if len(bare) >= 10 and len(_SYMBOLS.findall(t)) >= 0.1 * len(bare):
-            out.append(("leetspeak", r if _kinds(r := t.translate(_LEET)) >= 2 else None))
+    label = _LABEL.search(t) if odd or any(w in low for w in (b"caesar", b"rot13", b"rot 13", b"rot-13")) else None
+    if label:
+        out.append(("rot13", label[1].encode().translate(_ROT).decode()))
+    if _count(data, _LETTERS) >= 10 and _kinds(t) < 2:
+        turned = odd or any(w in low for w in _WORDS_BACK)
+        if not label and (odd or any(w in low for w in _WORDS_ROT)):
+            out.append(("rot13", r if _kinds(r := data.translate(_ROT).decode()) >= 2 else None))
+        if turned:
+            out.append(("full_reverse", r if _kinds(r := t[::-1]) >= 2 else None))
+            out.append(("word_reverse", r if _kinds(r := " ".join(w[::-1] for w in t.split(" "))) >= 2 else None))
+        solid = len(t) - (len(data) - len(bare))
+        if solid >= 10 and _count(data, _SYMBOLS) >= 0.1 * solid:
+            out.append(("leetspeak", r if _kinds(r := data.translate(_LEET).decode()) >= 2 else None))
     out.append(("morse", morse_of(t)))
     if number := numeric_of(t):
         out.append(number)

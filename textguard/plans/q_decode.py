@@ -119,4 +119,5 @@ VIEWS_SQL = f"views as (select doc_id, path, enc, text from tree where depth > 0
 def d_tree(spark, sf_dir):
     k, t = F.pmod("doc_id", F.lit(4)), F.col("text")
     d = planted.documents(spark, sf_dir).select("doc_id", F.when(k == 0, T.b64(T.hexed(t))).when(k == 1, T.b64(T.b64(t))).otherwise(t).alias("text"))
-    return d.select("doc_id", F.explode(D.tree(t)).alias("v")).select("doc_id", "v.enc", F.md5("v.text").alias("digest"))
+    # explode_outer, since explode infers a filter that would make the tree a second time
+    return d.select("doc_id", F.explode_outer(D.tree(t)).alias("v")).where("v is not null").select("doc_id", "v.enc", F.md5("v.text").alias("digest"))
