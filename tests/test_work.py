@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from textguard.operators import decode, extract
+from textguard.operators import decode, extract, store
 from textguard.session import ship
 
 DATA = "/root/testdata/sf0.001"
@@ -61,3 +61,19 @@ def test_borders_are_those_of_the_sql(spark):
     d = ship(spark).createDataFrame([(t,) for t in texts], "t string")
     for p in (extract.AWS, extract.MAIL, extract.IPV4, extract.HEX, extract.BASE64):
         assert [r.f for r in d.select(extract.found(F.col("t"), p).alias("f")).collect()] == [re.findall(extract.EDGE + "(" + p + ")", t) for t in texts]
+
+
+def test_dense_texts_are_told(spark):
+    assert {r.flags for r in run(spark, "p_anomaly").collect()} == {"", "tokenization_spike", "tokenization_spike_local"}
+    prose = "a calm walk by the river, and some more words to fill it. " * 4
+    assert store.anomalies_of(prose) == [] and store.anomalies_of(prose + "#~@%^" * 20) == ["tokenization_spike_local"]
+    assert store.anomalies_of("#~@%^" * 4) == ["tokenization_spike"] and store.anomalies_of("#~@%^") == [] and store.anomalies_of("漢字" * 50 + "#~" * 60) == []
+    assert store.anomalies_of(prose, lambda t: len(t)) == ["tokenization_spike"]  # an encoder in its place
+
+
+def test_windows_are_counted_in_proportional_time():
+    assert seconds(lambda: store.anomalies_of("words of a long text, " * 50_000)) < 2
+
+
+def test_dense_texts_are_those_of_the_sql(agrees):
+    agrees("p_anomaly")
