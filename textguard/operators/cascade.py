@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -251,38 +253,45 @@ def validate(c: Column, task: str = "general") -> Column:
     t = T.trim_all(T.text(c))
     code = task == "coding"
 
-    def of(s: Column) -> Column:
-        low = F.lower(s)
-        words = T.words(s)
-        n, chars = F.size(words), F.length(s)
-        long = F.size(F.filter(words, lambda w: F.length(w) > 2)) / n
-        alpha = T.count(s, r"\p{L}") / chars
+    def has(low: Column, words) -> Column:
+        return low.rlike(rf"(?<![a-z])(?:{'|'.join(words)})(?![a-z])")
+
+    def facts(x: Column) -> Column:
+        """What the checks need, each computed once: inside a lambda an expression runs as often as it is named."""
+        s, low, words = x.s, x.low, x.words
+        bounds = sum(((F.length(s) - F.length(F.replace(s, F.lit(b), F.lit("")))) / len(b) for b in BOUNDS), F.lit(0.0))
+        parts = F.filter(F.split(low, r"[.!?]+(?:[ \t\r\n]|$)|\n+"), lambda x: F.trim(x) != "")
+        first = lambda v, p: F.get(F.filter(F.transform(v, lambda x, i: F.when(x.rlike(p), i)), lambda i: i.isNotNull()), F.lit(0))
+        apart = F.when(low.rlike(REVERSAL) & low.rlike(SETUP), T.let(parts, lambda v: first(v, SETUP) != first(v, REVERSAL)))  # parts end beside letters
+        marked = low.rlike("###|[<\\[]") & functools.reduce(lambda a, m: a | F.contains(low, F.lit(m)), MARKERS, F.lit(False))
+        return F.struct(
+            F.size(words).alias("n"), F.length(s).alias("chars"), F.size(F.filter(words, lambda w: F.length(w) > 2)).alias("longer"), T.letters(s).alias("letters"), (has(low, QUESTION) | F.endswith(s, F.lit("?"))).alias("asks"), has(low, INTENT).alias("does"),
+            F.endswith(s, F.lit("?")).alias("ends"), bounds.alias("bounds"), ((low.contains("but ") & low.rlike(CONTRADICTION)) | F.coalesce(apart, F.lit(False))).alias("against"), (low.rlike("|".join(PERSONA)) | marked).alias("other"),
+            (F.size(F.array_intersect(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)), F.array(*map(F.lit, TASK_WORDS[task])))) if task in TASK_WORDS else F.lit(0)).alias("fitting"),
+        )
+
+    def of(f: Column) -> Column:
+        n, chars, asks, does, other = f.n, f.chars, f.asks, f.does, f.other
+        long, alpha = f.longer / n, f.letters / chars
         coherence = F.when(chars / n > (35 if code else 25), 0.1).when(long < 0.15, 0.2).when(alpha < (0.15 if code else 0.3), 0.2)
-        plain = F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0))
-        asks = F.arrays_overlap(plain, F.array(*map(F.lit, QUESTION))) | F.endswith(s, F.lit("?"))
-        does = F.arrays_overlap(plain, F.array(*map(F.lit, INTENT)))
         intent = F.when(asks | does, 0.6 + F.when(does, 0.2).otherwise(0.0) + F.when(asks, 0.2).otherwise(0.0))
-        bounds = sum(((chars - F.length(F.replace(s, F.lit(b), F.lit("")))) / len(b) for b in BOUNDS), F.lit(0.0))
-        parts = F.filter(F.split(low, r"[.!?]+(?:[ \t\r\n]|$)|\n+"), lambda x: F.trim(x) != "")
-        first = lambda p: F.get(F.filter(F.transform(parts, lambda x, i: F.when(x.rlike(p), i)), lambda i: i.isNotNull()), F.lit(0))
-        apart = F.coalesce(first(SETUP) != first(REVERSAL), F.lit(False))
-        too_long, many, against = chars > LENGTH[task], bounds >= 3, low.rlike(CONTRADICTION) | apart
+        too_long, many, against = chars > LENGTH[task], f.bounds >= 3, f.against
         scope = 1.0 - F.when(too_long, 0.4).otherwise(0.0) - F.when(many, 0.3).otherwise(0.0) - F.when(against, 0.3).otherwise(0.0)
-        other = persona(s)
-        for m in MARKERS:
-            other = other | F.contains(low, F.lit(m))
         scores = F.coalesce(coherence, F.least(F.lit(1.0), 0.4 + long * 0.3 + alpha * 0.3)) + F.coalesce(intent, F.lit(0.2)) + F.greatest(F.lit(0.0), scope) + F.when(other, 0.1).otherwise(1.0)
         issues = F.array_compact(F.array(F.when(coherence.isNotNull(), F.lit("coherence")), F.when(intent.isNull(), F.lit("intent")), F.when(too_long | many | against, F.lit("scope")), F.when(other, F.lit("persona"))))
         if task in TASK_WORDS:
-            match = F.least(F.lit(1.0), F.size(F.array_intersect(plain, F.array(*map(F.lit, TASK_WORDS[task])))) / 2)
+            match = F.least(F.lit(1.0), f.fitting / 2)
         elif task == "qa":
-            match = F.when(F.endswith(s, F.lit("?")), 1.0).when(asks, 0.7).otherwise(0.2)
+            match = F.when(f.ends, 1.0).when(asks, 0.7).otherwise(0.2)
         else:
             match = F.lit(0.5)
         return F.struct((F.size(issues) == 0).alias("valid"), F.round(scores / 4, 4).alias("confidence"), F.array_join(issues, "|").alias("reason"), F.round(match, 4).alias("task_match"))
 
+    def each(s: Column) -> Column:
+        return T.let(T.let(F.struct(s.alias("s"), F.lower(s).alias("low"), T.words(s).alias("words")), facts), of)
+
     blank = F.struct(F.lit(False).alias("valid"), F.lit(1.0).alias("confidence"), F.lit("empty").alias("reason"), F.lit(0.0).alias("task_match"))
-    return F.when(t == "", blank).otherwise(T.let(t, of))
+    return T.let(t, lambda s: F.when(s == "", blank).otherwise(each(s)))
 
 
 BEGIN, END = "<<<USER INPUT BEGINS>>>", "<<<USER INPUT ENDS>>>"
