@@ -93,22 +93,6 @@ def peel(c: Column) -> Column:
     return T.let(c, of)
 
 
-def unwrap(c: Column, depth: int = DEPTH) -> Column:
-    """struct(chain ARRAY<STRING>, text): the encodings that are peeled off one after another, at most `depth`, and
-    the innermost text. A layer that gives a text of the chain again, or more than ten times the original, ends it."""
-    empty = F.array().cast("array<string>")
-
-    def step(acc: Column, _: Column) -> Column:
-        def of(p: Column) -> Column:
-            ok = p.isNotNull() & ~F.array_contains(acc.seen, p.text) & (F.length(p.text) <= 10 * F.length(F.get(acc.seen, F.lit(0))))
-            return F.when(ok, F.struct(F.concat(acc.chain, F.array(p.enc)).alias("chain"), p.text.alias("text"), F.concat(acc.seen, F.array(p.text)).alias("seen"))).otherwise(acc)
-
-        return T.let(peel(acc.text), of)
-
-    start = F.struct(empty.alias("chain"), c.alias("text"), F.array(c).alias("seen"))
-    return F.aggregate(F.array(*[F.lit(i) for i in range(depth)]), start, step, lambda a: F.struct(a.chain.alias("chain"), a.text.alias("text")))
-
-
 LABEL = r"(?i)(?:rot[ -]?13|caesar)[ ]*[:=][ ]*"
 DOTS, STROKES = "·•․∙", "–—−‐‑"
 MODE = r"(?i)(?:chmod|mode|permissions?)[ ]*[:=]?[ ]*[0-7]{3,4}"
@@ -339,6 +323,51 @@ def tree_of(t: str, depth: int = DEPTH, budget: int = BUDGET) -> list[tuple[str,
     return found
 
 
+def peel_of(t: str) -> tuple[str, str] | None:
+    """As `peel`: (encoding, text)."""
+    data = t.encode()
+    bare = data.translate(None, _BLANKS)
+    body = bare.rstrip(b"=")
+    if len(bare) >= 16 and len(bare) % 4 == 0 and body and len(bare) - len(body) <= 2 and not body.translate(None, _DIGITS_64) and (d := _from_base64(bare)):
+        return "base64", d
+    if len(bare) >= 8 and len(bare) % 2 == 0 and not bare.translate(None, _DIGITS_16) and (d := _utf8(bytes.fromhex(bare.decode()))):
+        return "hex", d
+    if "%" in t and _ESCAPE.search(t):
+        raw = unquote_to_bytes(t.replace("+", " "))
+        d = raw.decode(errors="replace") if "\ufffd" in t else _utf8(raw)
+        if d and d != t:
+            return "url", d
+    if _count(data, _LETTERS) >= 10 and _kinds(t) < 2:
+        if _kinds(d := data.translate(_ROT).decode()) >= 2:
+            return "rot13", d
+        if _kinds(d := t[::-1]) >= 2:
+            return "reversed", d
+        solid = len(t) - (len(data) - len(bare))
+        if solid >= 10 and _count(data, _SYMBOLS) >= 0.1 * solid and _kinds(d := data.translate(_LEET).decode()) >= 2:
+            return "leet", d
+    return None
+
+
+def unwrap_of(t: str, depth: int = DEPTH) -> tuple[list[str], str]:
+    """As `unwrap`: (chain, text)."""
+    chain, seen = [], [t]
+    while len(chain) < depth and (p := peel_of(seen[-1])) and p[1] not in seen and len(p[1]) <= 10 * len(t):
+        chain.append(p[0])
+        seen.append(p[1])
+    return chain, seen[-1]
+
+
+def unwrap(c: Column, depth: int = DEPTH) -> Column:
+    """struct(chain ARRAY<STRING>, text): the encodings that are peeled off one after another, at most `depth`, and
+    the innermost text. A layer that gives a text of the chain again, or more than ten times the original, ends it."""
+    @F.arrow_udf(Ty.StructType().add("chain", Ty.ArrayType(Ty.StringType())).add("text", Ty.StringType()))
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [unwrap_of(t, depth) if t is not None else ([], None) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in rows], pa.list_(pa.string())), pa.array([x for _, x in rows], pa.string())], names=["chain", "text"])
+
+    return run(c)
+
+
 def _trees(texts: pa.Array) -> pa.Array:
     return pa.array([[{"enc": e, "text": x} for e, x in tree_of(t)] if t else [] for t in texts.to_pylist()], pa.list_(pa.struct([("enc", pa.string()), ("text", pa.string())])))
 

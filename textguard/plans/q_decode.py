@@ -88,7 +88,7 @@ select doc_id, arg_max(chain, depth) as chain, max(depth)::bigint as depth, md5(
 def d_unwrap(spark, sf_dir):
     k, t = F.pmod("doc_id", F.lit(4)), F.col("text")
     d = planted.documents(spark, sf_dir).select("doc_id", F.when(k == 0, T.b64(T.hexed(t))).when(k == 1, T.b64(T.b64(t))).otherwise(t).alias("text"))
-    u = d.select("doc_id", D.unwrap(t).alias("u"))
+    u = d.select("doc_id", T.once(D.unwrap(t)).alias("u"))
     return u.select("doc_id", F.array_join("u.chain", ",").alias("chain"), F.size("u.chain").cast("long").alias("depth"), F.md5("u.text").alias("inner_md5"))
 
 
