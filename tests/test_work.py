@@ -6,7 +6,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from textguard.operators import decode, extract, store
+from textguard.functions import unicode
+from textguard.operators import decode, extract, intake, rules, store
 from textguard.session import ship
 
 DATA = "/root/testdata/sf0.001"
@@ -77,3 +78,34 @@ def test_windows_are_counted_in_proportional_time():
 
 def test_dense_texts_are_those_of_the_sql(agrees):
     agrees("p_anomaly")
+
+
+def test_a_scan_does_each_step_once(spark):
+    steps = plan(run(spark, "s_risk_buckets"))
+    assert [len(re.findall(rf"ArrowEvalPython \[[^\]]*{f}", steps)) for f in ("_repairs", "_trees", "_both_readings", "_repetitions")] == [1] * 4
+    assert steps.count("henceforth") == 1 and steps.count(" {2,}") == 2
+
+
+def test_readings_are_the_expressions(spark):
+    draw = random.Random(9)
+    bits = ["dis-regard", "‹b›", "café", "é", "a+b+c+d", " ", "hxxps://x[.]y", " DOT ", "(at)", " AT ", "[:]", "[//]", "–", "-", "É", "[/]/", "x"]
+    texts = ["", *("".join(draw.choices(bits, k=draw.randint(1, 5))) for _ in range(1500))]
+    base = intake.fold_angles(F.col("t"))
+    plain = F.array_distinct(F.array(*[F.lower(x) for x in (base, unicode.no_marks(base), intake.plus_decoded(base), extract.refang(base), intake.dehyphenated(base))]))
+    for r in ship(spark).createDataFrame([(t,) for t in texts], "t string").select("t", rules.views(F.col("t")).alias("a"), plain.alias("b")).collect():
+        assert set(r.a) == set(r.b), r.t
+
+
+def test_visible_texts_hold_nothing_to_strip(spark):
+    every = "".join(chr(i) for i in range(1, 0xA000) if not 0xD800 <= i < 0xE000)
+    d = ship(spark).createDataFrame([(c,) for c in every], "t string").where(F.col("t").rlike(intake.VISIBLE))
+    assert d.count() > 20_000 and d.where(F.col("t").rlike(r"[\p{Cf}\p{Cn}\p{Cc}&&[^\n\r\t]]")).count() == 0
+
+
+def test_layers_are_those_of_the_expressions(spark):
+    draw = random.Random(10)
+    bits = ["ignore ", "system ", "secret prompt", "%41", "%zz", "+", "é", "013457", "aWdub3JlIHN5c3RlbQ==", "68656c6c6f20", " ", "A"]
+    turn = [lambda t: t, lambda t: t[::-1], lambda t: t.translate(str.maketrans("oieast", "013457")), lambda t: t.encode().hex(), lambda t: t.encode().translate(decode._ROT).decode()]
+    texts = ["", *(draw.choice(turn)("".join(draw.choices(bits, k=draw.randint(1, 6)))) for _ in range(1500))]
+    for r in ship(spark).createDataFrame([(t,) for t in texts], "t string").select("t", decode.peel(F.col("t")).alias("p")).collect():
+        assert (tuple(r.p) if r.p else None) == decode.peel_of(r.t), r.t
