@@ -125,7 +125,11 @@ def injection_features(c: Column) -> dict[str, Column]:
     }
 
 
-def context_features(c: Column) -> dict[str, Column]:
+CONTEXT = ("question_sentence_ratio", "first_person_ratio", "second_person_ratio")
+
+
+def context(c: Column) -> Column:
+    """struct of the three shares among a text's sentences, which are split once."""
     def shares(s: Column) -> Column:
         n = F.size(s)
         return F.struct(
@@ -134,8 +138,13 @@ def context_features(c: Column) -> dict[str, Column]:
             T.ratio(F.size(F.filter(s, lambda x: x.rlike(SECOND))), n).alias("second_person_ratio"),
         )
 
-    one = T.let(sentences(c), shares)  # the text is split once for all three
-    return {k: one[k] for k in ("question_sentence_ratio", "first_person_ratio", "second_person_ratio")}
+    return T.let(sentences(c), shares)
+
+
+def context_features(c: Column, shares: Column | None = None) -> dict[str, Column]:
+    """`shares` is a column of `context`; without it each share splits the text again."""
+    one = context(c) if shares is None else shares
+    return {k: one[k] for k in CONTEXT}
 
 
 def pattern_features(c: Column) -> dict[str, Column]:
@@ -151,17 +160,18 @@ def script_mixing(c: Column) -> Column:
     return F.when(kinds > 1, kinds).otherwise(F.lit(0)).cast("long")
 
 
-def all_features(c: Column) -> dict[str, Column]:
-    """The 29 features by name."""
+def all_features(c: Column, shares: Column | None = None) -> dict[str, Column]:
+    """The 29 features by name; `shares` as in `context_features`."""
     return (
         length_features(c) | casing_features(c) | punctuation_features(c) | marker_features(c) | injection_features(c) | {"quote_depth": quote_depth(c), "text_entropy": F.round(T.entropy(c), 6)}
-        | context_features(c) | pattern_features(c) | {"language_mixing_score": script_mixing(c), "repetition_score": repetition(c)}
+        | context_features(c, shares) | pattern_features(c) | {"language_mixing_score": script_mixing(c), "repetition_score": repetition(c)}
     )
 
 
 def structural_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the 29 features; a null text counts as empty and has 0 everywhere."""
-    return df.withColumns(all_features(T.text(text_col)))
+    d = df.withColumn("shares_", T.once(context(T.text(text_col))))
+    return d.withColumns(all_features(T.text(text_col), F.col("shares_"))).drop("shares_")
 
 
 def soft_capped(df: DataFrame) -> DataFrame:

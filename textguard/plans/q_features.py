@@ -84,7 +84,9 @@ select doc_id, max(deep) as quote_depth from s group by doc_id"""
 query("f_quote_depth", QUOTES)(_of(lambda c: {"quote_depth": O.quote_depth(c)}))
 
 _PARTS = ("f_length", "f_casing", "f_punct", "f_markers", "f_injection", "f_quote_depth", "f_entropy", "f_context", "f_patterns", "f_script_mix", "f_repetition")
-query("f_all", "select * from " + " join ".join(f"({_SQL[k]}) {k}" + (" using (doc_id)" if i else "") for i, k in enumerate(_PARTS)))(_of(O.all_features))
+query("f_all", "select * from " + " join ".join(f"({_SQL[k]}) {k}" + (" using (doc_id)" if i else "") for i, k in enumerate(_PARTS)))(
+    lambda spark, sf_dir: O.structural_features(planted.documents(spark, sf_dir)).drop("kind", "text")
+)
 
 
 @query("f_softcap", f"""with {P}, w as (select *, len({W})::bigint as words from planted)
