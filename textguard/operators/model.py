@@ -6,8 +6,12 @@ so that they are the same on every run and machine.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,12 +28,26 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
+_TOKEN = re.compile(r"\w{2,}")
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, tf, df) of each Arrow batch, so that a row a batch and not a row an occurrence goes on."""
+    for batch in batches:
+        tf, df = Counter(), Counter()
+        for t in batch.column(0).to_pylist():
+            own = Counter(_TOKEN.findall(t))
+            tf.update(own)
+            df.update(own.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(tf.keys(), pa.string()), pa.array(tf.values(), pa.int64()), pa.array([df[k] for k in tf], pa.int64())], names=["term", "tf", "df"])
+
+
 def idf(df: DataFrame, text_col: str = "text", terms: int = TERMS) -> DataFrame:
     """(term, tf, df, idf) of the `terms` most frequent terms: idf = ln((1 + n) / (1 + df)) + 1. The number of terms is
     the vocabulary's size, a parameter of the model."""
     n = df.count()
-    words = df.select(F.monotonically_increasing_id().alias("r_"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w_")).select("r_", F.explode("w_").alias("term"))
-    per = words.groupBy("term", "r_").agg(F.count("*").alias("c_")).groupBy("term").agg(F.sum("c_").alias("tf"), F.count("*").alias("df"))
+    counted = df.select(F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t_")).mapInArrow(_counts, "term string, tf long, df long")
+    per = counted.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     return per.orderBy(F.desc("tf"), "term").limit(terms).withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)
 
 
