@@ -110,7 +110,7 @@ def d_compression(spark, sf_dir):
 
 @query("d_layer_flags")
 def d_layer_flags(spark, sf_dir):
-    d = planted.documents(spark, sf_dir).withColumn("v", D.tree(F.col("text")))
+    d = planted.documents(spark, sf_dir).withColumn("v", T.once(D.tree(F.col("text"))))
     return d.select("doc_id", "kind", F.array_join(D.layer_flags(F.col("text"), F.col("v")), ",").alias("flags"))
 
 
