@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -100,24 +101,31 @@ STOP_WORDS = {
 LEAST_STOP, SECOND = 0.05, 0.5
 
 
+_STOPS = [(k, frozenset(v)) for k, v in STOP_WORDS.items()]
+_WORD = re.compile("[a-zà-ÿ]+")
+_SHARES = Ty.StructType().add("lang", Ty.StringType()).add("first", Ty.DoubleType()).add("second", Ty.DoubleType())
+
+
+def _languages(texts: pa.Array) -> pa.Array:
+    """The likeliest language of lower-case texts, its share of frequent words and the next one's."""
+    rows = []
+    for t in texts.to_pylist():
+        n = Counter(_WORD.findall(t or ""))
+        (first, lang), (second, _), *_ = sorted(((sum(n[w] for w in v) / max(n.total(), 1), k) for k, v in _STOPS), reverse=True)
+        rows.append((lang, first, second))
+    return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ([], [], []), (pa.string(), pa.float64(), pa.float64()))], names=["lang", "first", "second"])
+
+
 def language(c: Column) -> Column:
     """struct(lang, flags): by script where a text isn't Latin, else by the share of a language's frequent words; `und` if
     none is clear. Flags: non_english_input, and mixed_language_input for Latin beside another script or a second
     language at least half as frequent."""
     other = I.script_profile(c)
     latin = T.thrice(c, "[A-Za-zÀ-ÿ]")
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[a-zà-ÿ]+"), F.lit(0))
-
-    def of(w: Column) -> Column:
-        def among(v: list[str]):
-            return lambda x: x.isin(*v)
-
-        shares = F.array(*[F.struct((F.size(F.filter(w, among(v))) / F.greatest(F.size(w), F.lit(1))).alias("s"), F.lit(k).alias("k")) for k, v in STOP_WORDS.items()])
-        return T.let(F.sort_array(shares, asc=False), lambda s: F.struct(F.when((F.length(c) >= 20) & (s[0].s >= LEAST_STOP), s[0].k).otherwise("und").alias("k"), ((F.length(c) >= 20) & (s[1].s >= LEAST_STOP) & (s[1].s >= SECOND * s[0].s)).alias("two")))
-
-    best = T.let(words, of)
-    lang = F.when((other != "") & ~latin, F.element_at(F.split(other, ","), 1)).otherwise(best.k)
-    flags = F.array_compact(F.array(F.when(~lang.isin("en", "und"), F.lit("non_english_input")), F.when(((other != "") & latin) | best.two, F.lit("mixed_language_input"))))
+    found, long = F.arrow_udf(_languages, _SHARES)(F.lower(c)), F.length(c) >= 20
+    clear, two = F.when(long & (found.first >= LEAST_STOP), found.lang).otherwise("und"), long & (found.second >= LEAST_STOP) & (found.second >= SECOND * found.first)
+    lang = F.when((other != "") & ~latin, F.element_at(F.split(other, ","), 1)).otherwise(clear)
+    flags = F.array_compact(F.array(F.when(~lang.isin("en", "und"), F.lit("non_english_input")), F.when(((other != "") & latin) | two, F.lit("mixed_language_input"))))
     return F.struct(lang.alias("lang"), flags.alias("flags"))
 
 
